@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": OP6_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
