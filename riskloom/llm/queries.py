@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.token_counts import op1_token_counts
@@ -13,8 +14,10 @@ from riskloom.llm.token_counts import op1_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
+    "op7_benchmark_decontamination": OP7_SQL,
 }
