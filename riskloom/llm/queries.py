@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from riskloom.llm.mixing import OP4_SQL, op4_mixing
 from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.token_counts import op1_token_counts
 from riskloom.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
 }
