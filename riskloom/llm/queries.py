@@ -12,12 +12,14 @@ from riskloom.llm.mixing import OP4_SQL, op4_mixing
 from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.token_counts import op1_token_counts
 from riskloom.llm.toxicity import op10_toxicity
+from riskloom.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_warc": op8_warc,
     "op10_toxicity": op10_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
@@ -25,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op8_warc": OP8_SQL,
 }
