@@ -11,6 +11,7 @@ from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.licenses import op2_license_scan
 from riskloom.llm.mixing import OP4_SQL, op4_mixing
 from riskloom.llm.simhash import op9_simhash_near_dedup
+from riskloom.llm.substring_dedup import op3_substring_dedup
 from riskloom.llm.token_counts import op1_token_counts
 from riskloom.llm.toxicity import op10_toxicity
 from riskloom.llm.warc import OP8_SQL, op8_warc
@@ -18,6 +19,7 @@ from riskloom.llm.warc import OP8_SQL, op8_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
