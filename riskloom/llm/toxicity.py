@@ -204,12 +204,11 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id_: str, per_class: t
     """The features of the sample, and how many labelled rows a clean one stands for as against a toxic
     one.  The driver gets at most sum(per_class) documents of at most longest bytes."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_).isNotNull()).groupBy(id_).agg(F.max("toxic").alias("toxic")).where(~held_out(F.col(id_)))
-    rows = docs.select(F.col(id_), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.octet_length("_text").between(1, longest)).join(known, id_)
-    picked = None
     order = F.xxhash64(F.col(id_), F.lit(SEED))
-    for label in (0, 1):
-        part = rows.where((F.col("toxic") > 0) == F.lit(bool(label))).orderBy(order, id_, "_text").limit(per_class[label]).select("_text", F.lit(label).alias("toxic"))
-        picked = part if picked is None else picked.unionAll(part)
+    picked = [known.where((F.col("toxic") > 0) == F.lit(bool(y))).orderBy(order, id_).limit(per_class[y]).select(id_, F.lit(y).alias("_label")) for y in (0, 1)]
+    picked = F.broadcast(picked[0].unionAll(picked[1]))  # sum(per_class) ids at most
+    texts = docs.select(F.col(id_), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.octet_length("_text").between(1, longest))
+    rows = texts.join(picked, id_).select("_text", F.col("_label").alias("toxic"))
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +219,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id_: str, per_class: t
                 found.append((feature[order].tobytes(), np.searchsorted(word[order], first).astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary()), batch.column("toxic")], names=["f", "s", "toxic"])
 
-    got = picked.mapInArrow(bagged, "f binary, s binary, toxic int").collect()
+    got = rows.mapInArrow(bagged, "f binary, s binary, toxic int").collect()
     bags = [(np.frombuffer(f, np.int32), np.frombuffer(s, np.int32).astype(np.int64), y) for f, s, y in got if len(s)]
     there = {bool(y): n for y, n in known.groupBy((F.col("toxic") > 0).alias("y")).count().collect()}
     stands = [there.get(y, 0) / max(1, sum(b[2] == y for b in bags)) for y in (False, True)]
