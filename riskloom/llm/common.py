@@ -133,5 +133,9 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(WORD[data])
 
 
-def text_column(df: DataFrame, column: str = "text") -> DataFrame:
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, so that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

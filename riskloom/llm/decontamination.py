@@ -157,11 +157,11 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[Data
     return [benchmark] if n == 1 else [benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(2 * n)) == i) for i in range(2 * n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item: str = "item_id", item_text: str = "text", limit: int = BLOCK_BYTES) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item: str = "item_id", item_text: str = "text", limit: int = BLOCK_BYTES, found: str = "_found"
+) -> DataFrame:
     """All columns of docs, and n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word
-    places, start and end by turns), hit_items and longest_match (words) in a struct `_found`.
-
-    The text must hold no other column named `_found`, `_text` or `_row`.
+    places, start and end by turns), hit_items and longest_match (words) in a struct `found`.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -193,11 +193,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_
     )
     items = F.array_sort(F.array_distinct(F.coalesce("_items", F.array().cast("array<string>"))))
     n_hit = F.coalesce(covered.n, F.lit(0)).cast("long")
-    found = F.struct(
+    told = F.struct(
         "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         F.col("_spans").alias("hit_spans"), items.alias("hit_items"), F.col("_longest").alias("longest_match"),
     )
-    return out.select("_row.*", found.alias("_found"))
+    return out.select("_row.*", told.alias(found))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ BLOCK = 4096
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def _hash_key() -> Column:
-    return F.struct("id", "size", "sum")
+def normalised(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), SPACE, "")
 
 
 def _named(rows: DataFrame, *value: str) -> DataFrame:
@@ -65,7 +65,7 @@ def identities(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """id_, keep_id, group_size, kept and text_sha256 of every row of docs."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    plain = F.translate(whole, SPACE, "")
+    plain = normalised(F.col(text))
     rows = docs.select(
         F.col(id_).alias("id"), F.length(whole).alias("points"), F.octet_length(plain).alias("size"), F.xxhash64(plain).alias("sum"), F.sha2(plain, 256).alias("text_sha256")
     )
@@ -73,7 +73,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", block
     # One row for each (id, size, checksum): rows that repeat a document are told apart by nothing.
     shared = rows.groupBy("size", "sum").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     asked = saved(rows.join(shared, ["size", "sum"], "left_semi").groupBy("id", "size", "sum").agg(F.count("*").alias("n"), F.max("points").alias("points")))
-    key = _hash_key()
+    key = F.struct("id", "size", "sum")
     texts = docs.select(F.col(id_).alias("id"), plain.alias("text")).withColumns({"size": F.octet_length("text"), "sum": F.xxhash64("text")})
     texts = texts.join(asked.select(F.col("id").alias("i"), F.col("size").alias("s"), F.col("sum").alias("c")), F.col("id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("s")) & (F.col("sum") == F.col("c")))
     # Equal ids with equal checksums must hold equal texts, else they'd be one key for two texts.

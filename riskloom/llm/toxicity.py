@@ -220,6 +220,7 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id_: str, per_class: t
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary()), batch.column("toxic")], names=["f", "s", "toxic"])
 
     got = rows.mapInArrow(bagged, "f binary, s binary, toxic int").collect()
+    got.sort(key=lambda r: (r[2], r[0], r[1]))  # sums don't depend on the order of arrival
     bags = [(np.frombuffer(f, np.int32), np.frombuffer(s, np.int32).astype(np.int64), y) for f, s, y in got if len(s)]
     there = {bool(y): n for y, n in known.groupBy((F.col("toxic") > 0).alias("y")).count().collect()}
     stands = [there.get(y, 0) / max(1, sum(b[2] == y for b in bags)) for y in (False, True)]
@@ -227,9 +228,9 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id_: str, per_class: t
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", threshold: float = THRESHOLD, per_class: tuple[int, int] = PER_CLASS, longest: int = LONGEST
+    docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", threshold: float = THRESHOLD, per_class: tuple[int, int] = PER_CLASS, longest: int = LONGEST, found: str = "_toxicity"
 ) -> DataFrame:
-    """All columns of docs, and a struct `_toxicity`: held_out, score, predicted, n_offending (sentences
+    """All columns of docs, and a struct `found`: held_out, score, predicted, n_offending (sentences
     likelier toxic than not), worst_at (byte of the text at which its worst sentence's first word
     begins; -1 without words) and worst (that sentence's probability)."""
     spark = docs.sparkSession
@@ -247,10 +248,10 @@ def toxicity(
 
     schema = rows.select("_row", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("worst_at"), F.lit(0.0).alias("worst")).schema
     out = rows.mapInArrow(scored, schema)
-    found = F.struct(
+    told = F.struct(
         held_out(F.col(f"_row.`{id_}`")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("n").alias("n_offending"), "worst_at", "worst"
     )
-    return out.select("_row.*", found.alias("_toxicity"))
+    return out.select("_row.*", told.alias(found))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
