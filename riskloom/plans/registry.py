@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from riskloom.plans import detection, findings  # noqa: F401
+    from riskloom.plans import calibration, detection, findings  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
