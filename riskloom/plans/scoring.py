@@ -77,11 +77,11 @@ def asymmetric_fusion(spark, sf_dir):
     return r.groupBy("how").agg(F.count("*").alias("n"), F.round(F.avg("combined"), 6).alias("mean"), F.round(F.min(F.col("combined") - F.col("h")), 6).alias("least_gain"), F.round(F.max("combined"), 6).alias("most"))
 
 
-VOTES = "votes AS (SELECT l_orderkey AS item, l_linenumber AS model, round(avg(l_discount * 10), 9) AS p, round(avg(l_tax * 10), 9) AS c, (l_linenumber::DOUBLE) AS w FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+VOTES = "votes AS (SELECT l_orderkey AS item, l_linenumber AS model, round(avg(l_discount * 10), 4) AS p, round(avg(l_tax * 10), 4) AS c, (l_linenumber::DOUBLE) AS w FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineitem(spark, sf_dir).groupBy(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("model")).agg(F.round(F.avg(F.col("l_discount") * 10), 9).alias("p"), F.round(F.avg(F.col("l_tax") * 10), 9).alias("c"), F.first(F.col("l_linenumber").cast("double")).alias("w"))
+    return lineitem(spark, sf_dir).groupBy(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("model")).agg(F.round(F.avg(F.col("l_discount") * 10), 4).alias("p"), F.round(F.avg(F.col("l_tax") * 10), 4).alias("c"), F.first(F.col("l_linenumber").cast("double")).alias("w"))
 
 
 @register(
