@@ -36,7 +36,8 @@ def normalised(text: Column) -> Column:
 
 def _named(rows: DataFrame, *value: str) -> DataFrame:
     """rows with the name of their value: its place among the sorted distinct values."""
-    names = rows.select(*value).distinct().orderBy(*value).withColumn("name", F.monotonically_increasing_id())
+    order = [F.substring(value[0], 1, 64)] if len(value) == 1 else list(value)  # equal values fall into one range
+    names = rows.select(*value).distinct().repartitionByRange(*order).sortWithinPartitions(*value).withColumn("name", F.monotonically_increasing_id())
     return rows.join(saved(names), list(value)).drop(*value)
 
 
@@ -79,7 +80,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", block
     # Equal ids with equal checksums must hold equal texts, else they'd be one key for two texts.
     texts = texts.groupBy(key.alias("key"), "text").agg(F.count("*").alias("rows"))
     texts = texts.select(F.struct("key", F.xxhash64(F.lit(1), "text")).alias("key"), "text")
-    named = identities(texts, block)
+    named = identities(saved(texts), block)  # the candidates only: the other texts aren't moved again
     class_of = named.select(F.col("key.key.id").alias("id"), F.col("key.key.size").alias("size"), F.col("key.key.sum").alias("sum"), F.struct("level", "name").alias("class"))
     member = saved(
         class_of.alias("c").join(asked.alias("a"), F.expr("c.id <=> a.id and c.size = a.size and c.sum = a.sum")).select("a.id", "a.size", "a.sum", "a.n", "a.points", "c.class")
