@@ -20,7 +20,7 @@ def source_tree(spark: SparkSession, path: str, suffix: str = ".java", recursive
 def expected_results(spark: SparkSession, path: str) -> DataFrame:
     """test_name, category, real_vuln, cwe; blank and # lines and rows of fewer than 4 fields are skipped."""
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
-    cells = lines.select(F.transform(F.split("value", ","), F.trim).alias("c")).where(F.size("c") >= 4)
+    cells = lines.select(F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("c")).where(F.size("c") >= 4)
     return cells.select(F.col("c")[0].alias("test_name"), F.lower(F.col("c")[1]).alias("category"), (F.lower(F.col("c")[2]) == "true").alias("real_vuln"), F.col("c")[3].alias("cwe"))
 
 
