@@ -1,0 +1,109 @@
+"""Operators that are plain relational algebra, stated once in SQL that both engines read.
+
+Numbers with an exponent are doubles in either dialect.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from riskloom.plans.registry import register
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+QUERIES: dict[str, str] = {
+    # Scores of case counts: what a file's graph and findings make of a confidence.
+    "e10_traditional_confidence": """SELECT o_orderkey AS id, round(greatest(0e0, least(1e0, 0.5e0 + least(n / 1e2, 0.3e0) + 0.2e0 * k + 0.1e0)), 9) AS confidence
+        FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS k FROM lineitem GROUP BY l_orderkey) x""",
+    "e11_uncertainty_mean": """SELECT id, round(1 / (1 + exp(-(0.5e0 + least(nodes / 2e2, 0.3e0) + least(methods / 2e1, 0.2e0) + least(calls / 3e1, 0.15e0) + 0.15e0 * found))), 9) AS p
+        FROM (SELECT l_suppkey AS id, count(*) AS nodes, count(DISTINCT l_partkey) AS methods, count(DISTINCT l_orderkey) AS calls, sum(CASE WHEN l_discount > 0.09e0 THEN 1 ELSE 0 END) AS found FROM lineitem GROUP BY l_suppkey) x""",
+    "e12_uncertainty_bands": """SELECT id, nodes, found, round(u, 9) AS uncertainty, CASE WHEN u < 0.1e0 THEN 'low' WHEN u < 0.25e0 THEN 'medium' WHEN u < 0.4e0 THEN 'high' ELSE 'very_high' END AS band
+        FROM (SELECT id, nodes, found, CASE WHEN nodes > 500 THEN 0.15e0 WHEN nodes > 200 THEN 0.1e0 ELSE 0.05e0 END + CASE WHEN found = 0 THEN 0.2e0 WHEN found <= 5 THEN 0.05e0 ELSE 0.1e0 END AS u
+          FROM (SELECT l_partkey AS id, count(*) * 10 AS nodes, sum(CASE WHEN l_discount > 0.09e0 THEN 1 ELSE 0 END) AS found FROM lineitem GROUP BY l_partkey) a) b""",
+    "e13_routing": """SELECT route, count(*) AS n FROM (SELECT CASE WHEN total > 0.3e0 THEN 'secondary_pass' WHEN total > 0.2e0 THEN 'expert' ELSE 'automated' END AS route
+        FROM (SELECT l_discount + l_tax * 2 AS total FROM lineitem) a) b GROUP BY route""",
+    "e14_heuristic_blend": "SELECT c_custkey AS id, round(0.7e0 * b + 0.3e0 * t, 9) AS confidence FROM (SELECT c_custkey, (c_custkey % 100) / 1e2 AS b, (c_nationkey % 10) / 1e1 AS t FROM customer) x",
+    "e20_adaptive_weights": "SELECT model, acc, round(CASE WHEN acc > 0.8e0 THEN 1.1e0 WHEN acc < 0.6e0 THEN 0.9e0 ELSE 1e0 END, 9) AS factor FROM (SELECT l_linenumber AS model, round(avg(l_discount * 10), 6) AS acc FROM lineitem GROUP BY l_linenumber) x",
+    "e22_meta_ensemble": "SELECT item, round(avg(p) + 1e-10, 8) AS prediction, round(avg(c) / (1 + max(p) - min(p)) + 1e-10, 8) AS confidence FROM (SELECT l_partkey AS item, l_suppkey % 4 AS model, avg(l_discount * 10) AS p, avg(l_tax * 10) AS c FROM lineitem GROUP BY l_partkey, l_suppkey % 4) x GROUP BY item",
+    "e23_multi_scale_combine": """SELECT id, round((0.4e0 * f + 0.3e0 * g + 0.3e0 * h) / 1e0, 9) AS weighted, CASE WHEN f >= g AND f >= h THEN 'function' WHEN g >= h THEN 'file' ELSE 'project' END AS best,
+        round((exp(f) * f + exp(g) * g + exp(h) * h) / (exp(f) + exp(g) + exp(h)), 9) AS attention, greatest(f, g, h) > 0.5e0 AS flagged
+        FROM (SELECT p_partkey AS id, (p_partkey % 11) / 1e1 AS f, (p_size % 7) / 1e1 AS g, (p_partkey % 5) / 1e1 AS h FROM part) x""",
+    "e27_impact_score": "SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 0e0 ELSE round((0.7e0 * greatest(0.1e0, 1 - p_size * 10 / 1e3) + 0.3e0 * greatest(0e0, least(1e0, (p_partkey % 13) / 1e1))) * 10 + 1e-9, 1) END AS score FROM part",
+    "e28_adaptive_threshold": "SELECT kind, fp, fn, round(0.7e0 - CASE WHEN fp < 0.05e0 THEN 0.05e0 ELSE 0e0 END + CASE WHEN fn < 0.1e0 THEN 0.05e0 ELSE 0e0 END, 9) AS threshold FROM (SELECT event_type AS kind, avg(CASE WHEN value > 95 THEN 1e0 ELSE 0e0 END) AS fp, avg(CASE WHEN value < 8 THEN 1e0 ELSE 0e0 END) AS fn FROM events GROUP BY event_type) x",
+    "e30_method_consolidation": """SELECT id, n_methods, round(mean, 9) AS mean, CASE worst WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity
+        FROM (SELECT l_orderkey AS id, count(*) AS n_methods, avg(l_discount * 10) AS mean, max(CASE WHEN l_discount > 0.08e0 THEN 4 WHEN l_discount > 0.06e0 THEN 3 WHEN l_discount > 0.03e0 THEN 2 ELSE 1 END) AS worst FROM lineitem WHERE l_tax > 0.02e0 GROUP BY l_orderkey) x""",
+    "e31_counterfactual_importance": """SELECT id, score, place FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM (SELECT p_partkey AS id, round((p_size % 10) / 2e1 + CASE WHEN p_type LIKE '%STEEL%' THEN 0.3e0 ELSE 0e0 END, 9) AS score FROM part) a) b WHERE place <= 5""",
+    "e09_evidence_adjustment": """SELECT id, round(greatest(-0.15e0, least(0.15e0, avg(d))) + 1e-10, 8) + 0e0 AS adjustment FROM (SELECT l_orderkey AS id, CASE l_linenumber WHEN 1 THEN 0.08e0 WHEN 2 THEN 0.04e0 WHEN 3 THEN 0.05e0 WHEN 4 THEN -0.05e0 WHEN 5 THEN 0.06e0 WHEN 6 THEN -0.08e0 ELSE 0.02e0 END AS d FROM lineitem) x GROUP BY id""",
+    "e01_evidence_items": """SELECT id, kind, round(conf, 9) AS conf FROM (
+        SELECT id, 'taint_flow' AS kind, 0.7e0 + least(0.2e0, 0.05e0 * flows) AS conf FROM (SELECT o_custkey AS id, count(*) AS flows FROM orders GROUP BY o_custkey) a
+        UNION ALL SELECT o_custkey, 'multiple_paths', CASE WHEN count(*) > 10 THEN 0.85e0 ELSE 0.8e0 END FROM orders GROUP BY o_custkey HAVING count(*) > 1
+        UNION ALL SELECT o_custkey, 'user_input', 0.78e0 FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) x""",
+    "e08_taint_gating": """SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN sinks = 0 THEN 'no_sink_evidence' WHEN flows = 0 THEN 'no_taint_flows' WHEN guards > 8 THEN 'sanitization_evidence' WHEN conf < 0.3e0 THEN 'confidence_gate' ELSE 'kept' END AS verdict
+        FROM (SELECT o_custkey, count(*) AS sinks, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS flows, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS guards, avg(o_totalprice) / 500000 AS conf FROM orders GROUP BY o_custkey) a) b GROUP BY verdict""",
+    # Joins of findings to dimensions.
+    "j05_sanitizer_suitability": """SELECT f.id, max(CASE WHEN s.kind = 'required' THEN 0.95e0 WHEN s.kind = 'acceptable' THEN 0.6e0 ELSE 0e0 END) AS suitability FROM (SELECT event_id AS id, event_type AS t FROM events) f
+        LEFT JOIN (SELECT 'error' AS t, 'required' AS kind UNION ALL SELECT 'click', 'acceptable' UNION ALL SELECT 'view', 'ineffective') s ON f.t = s.t GROUP BY f.id""",
+    "j08_method_pairs": """SELECT s.conv_id, s.turn AS sink_turn, m.source_turn FROM (SELECT conv_id, turn FROM conversations WHERE role = 'assistant') s
+        JOIN (SELECT conv_id, min(turn) AS source_turn FROM conversations WHERE role = 'user' GROUP BY conv_id) m ON s.conv_id = m.conv_id""",
+    "j09_category_mapping": "SELECT r.r_name AS category, count(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
+    "j10_precedence_mapping": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'sql_injection' WHEN c_nationkey < 5 THEN 'xss' WHEN c_name LIKE '%7' THEN 'xxe' END AS vuln_type FROM customer",
+    "j12_existence_join": "SELECT d.doc_id, d.lang FROM documents d LEFT SEMI JOIN labels l ON d.doc_id = l.doc_id",
+    "j15_dynamic_static": """SELECT count(*) AS n, sum(CASE WHEN s.k IS NULL THEN 1 ELSE 0 END) AS missing, round(CASE WHEN count(*) = 0 THEN 1e0 ELSE 1 - sum(CASE WHEN s.k IS NULL THEN 1e0 ELSE 0e0 END) / count(*) END, 9) AS rate
+        FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) d LEFT JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0) s ON d.k = s.k""",
+    "j16_blended_config": "SELECT n.n_name, s.best FROM nation n LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS best FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s ON n.n_nationkey = s.s_nationkey",
+    # Aggregates.
+    "a18_cluster_sizes": "SELECT label, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY label",
+    "a22_map_average": "SELECT kind, round(avg(v), 9) AS mean, count(v) AS n FROM (SELECT event_type AS kind, CASE WHEN value > 50 THEN value END AS v FROM events) x GROUP BY kind",
+    "a25_heap_opportunities": "SELECT sum(CASE WHEN p_type LIKE '%BRASS%' THEN 1 ELSE 0 END) > 1000 AS interning, sum(CASE WHEN p_type LIKE '%STEEL%' THEN p_size ELSE 0 END) AS retained, count(*) AS n FROM part",
+    "a26_process_metrics": "SELECT user_id, round(avg(value), 6) AS mean, max(value) AS most, count(*) AS samples FROM events GROUP BY user_id",
+    "a28_epoch_training": "SELECT epoch, round(avg(loss), 6) AS loss, round(CAST(sum(good) AS DOUBLE) / sum(n), 9) AS accuracy FROM (SELECT l_linenumber AS epoch, l_suppkey % 16 AS batch, avg(abs(l_discount * 10 - CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END)) AS loss, sum(CASE WHEN (l_discount >= 0.05e0) = (l_returnflag = 'R') THEN 1 ELSE 0 END) AS good, count(*) AS n FROM lineitem GROUP BY l_linenumber, l_suppkey % 16) x GROUP BY epoch",
+    "a30_cross_dataset": "SELECT 'events' AS dataset, count(*) AS n, round(avg(value), 6) AS metric FROM events UNION ALL SELECT 'lineitem', count(*), round(avg(l_discount), 6) FROM lineitem",
+    "q06_batch_statistics": "SELECT max(n) AS largest, min(n) AS smallest, count(*) AS classes, greatest(1, CAST(ceil(max(n) / 4e0) AS BIGINT)) AS batches FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label) x",
+    "q08_severity_order": "SELECT event_id, place FROM (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM events WHERE value >= 75 AND event_type = 'error') x WHERE place <= 100",
+    "q09_patch_ranking": "SELECT p_partkey, place FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, p_retailprice, p_partkey) AS place FROM part) x WHERE place <= 3",
+    "u03_merge_confidence": "SELECT file, round(0.6e0 * own + 0.4e0 * other, 9) AS merged, round(least(1e0, own + least(0.1e0, other * 0.2e0)), 9) AS supplemented FROM (SELECT user_id AS file, max(CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END) / 100 AS own, max(CASE WHEN event_id % 2 = 1 THEN value ELSE 0 END) / 100 AS other FROM events GROUP BY user_id) x",
+    "u04_compare_sides": """SELECT coalesce(a.f, b.f) AS file, CASE WHEN b.f IS NULL THEN 'only_a' WHEN a.f IS NULL THEN 'only_b' ELSE 'both' END AS side FROM (SELECT DISTINCT user_id AS f FROM events WHERE event_type = 'error' AND value > 60) a
+        FULL OUTER JOIN (SELECT DISTINCT user_id AS f FROM events WHERE event_type = 'click' AND value > 60) b ON a.f = b.f""",
+    "u06_findings_mapping": "SELECT kind, count(*) AS issues, count(DISTINCT user_id) AS files, round(sum(CASE WHEN kind <> 'other' THEN value ELSE 0 END) / count(*), 6) AS mean FROM (SELECT user_id, value, CASE WHEN event_type = 'error' THEN 'bug' WHEN event_type = 'purchase' THEN 'vulnerability' ELSE 'other' END AS kind FROM events) x GROUP BY kind",
+    "u07_universe": "SELECT count(*) AS variables FROM (SELECT o_custkey AS v FROM orders UNION SELECT c_custkey FROM customer UNION SELECT s_suppkey FROM supplier) x",
+    # Graph facts that need one join.
+    "g17_alias_roots": "SELECT a.s_suppkey AS v, CASE WHEN a.s_suppkey = b.s_suppkey THEN 'must' WHEN a.s_acctbal > 5000 AND b.s_acctbal > 5000 THEN 'must_not' ELSE 'may' END AS alias, b.s_suppkey AS w FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <= b.s_suppkey",
+    "g18_alias_refinement": "SELECT a.s_nationkey AS method, count(*) AS pairs FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY a.s_nationkey",
+    "g19_alias_statistics": "SELECT count(DISTINCT c_custkey) AS variables, count(DISTINCT c_nationkey) AS sites FROM customer",
+    "g21_calling_contexts": "SELECT l_suppkey AS callee, count(DISTINCT l_orderkey) AS callers FROM lineitem GROUP BY l_suppkey",
+    "g22_path_feasibility": "SELECT turn, CASE WHEN text LIKE '%true%' THEN 'always_true' WHEN text LIKE '%false%' THEN 'always_false' WHEN role = 'user' THEN 'tainted' ELSE 'open' END AS branch, count(*) AS n FROM conversations GROUP BY 1, 2",
+    "g23_native_transfers": "SELECT c.conv_id, c.turn, d.first_user FROM conversations c JOIN (SELECT conv_id, min(turn) AS first_user FROM conversations WHERE role = 'user' GROUP BY conv_id) d ON c.conv_id = d.conv_id AND c.turn >= d.first_user WHERE c.role <> 'user'",
+    "g25_result_assembly": "SELECT user_id AS file, count(DISTINCT event_type) AS kinds, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS flows, count(*) AS n FROM events GROUP BY user_id",
+    "g32_graph_features": "SELECT p_partkey AS id, round(p_size / 1.2e1, 9) AS kind, round(p_partkey / 1e3, 9) AS line, round(length(p_name) / 2e2, 9) AS size, CASE WHEN p_type LIKE '%TIN%' THEN 1 ELSE 0 END AS is_source, 0 AS pad FROM part",
+    "x02_patch_lines": "SELECT event_type AS patch, sum(CASE WHEN value > 66 THEN 1 ELSE 0 END) AS added, sum(CASE WHEN value < 33 THEN 1 ELSE 0 END) AS removed, count(*) AS total FROM events GROUP BY event_type",
+    "x03_cluster_confidence": "SELECT vec_id, round(1 / (1 + exp(-5e0 * (0.6e0 * exp(-(vec_id % 10) / 1e1) + 0.4e0 * exp(-(vec_id % 7) / 1e1) - 0.5e0))), 9) AS confidence FROM embeddings",
+    "x08_type_inference": "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_name LIKE '%a%' THEN 'sql_injection' WHEN p_name LIKE '%e%' THEN 'xss' WHEN p_size > 40 THEN 'path_traversal' ELSE 'unknown' END AS kind FROM part) x GROUP BY kind",
+    "x16_patch_confidence": "SELECT p_partkey, round(CASE WHEN p_size % 2 = 0 THEN 0.33e0 ELSE 0e0 END + CASE WHEN p_size % 3 = 0 THEN 0.33e0 ELSE 0e0 END + CASE WHEN p_size % 5 = 0 THEN 0.34e0 ELSE 0e0 END, 9) AS confidence FROM part",
+    "x17_scanner_counts": "SELECT event_type AS method, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS confirmed FROM events GROUP BY event_type",
+    "x18_graph_index": "SELECT n.n_nationkey, n.n_name, row_number() OVER (ORDER BY coalesce(s.k, 9999), n.n_name) AS place FROM nation n LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS k FROM supplier GROUP BY s_nationkey) s ON n.n_nationkey = s.s_nationkey",
+    "p27_security_properties": "SELECT doc_id, (length(text) - length(replace(text, 'and', ''))) / 3 < (length(text) - length(replace(text, 'the', ''))) / 3 AS unguarded FROM documents",
+    "p33_file_eligibility": "SELECT page_id, url FROM pages WHERE url LIKE '%.%' AND NOT url LIKE '%/.%' AND NOT url LIKE '%node_modules%'",
+    "n05_three_increases": "SELECT user_id, event_id FROM (SELECT user_id, event_id, value, lag(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) x WHERE value > a AND a > b",
+    "n08_early_stopping": """SELECT user_id, max(since) AS patience FROM (SELECT user_id, rn - max(CASE WHEN improved = 1 THEN rn ELSE 0 END) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since
+        FROM (SELECT user_id, rn, CASE WHEN value < coalesce(best, 1e9) THEN 1 ELSE 0 END AS improved FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+          min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) a) b) c GROUP BY user_id""",
+    "w09_diagnostics": "SELECT event_id, event_type, CASE WHEN value >= 90 THEN 'error' WHEN value >= 70 THEN 'warning' ELSE 'information' END AS level FROM events WHERE value >= 50",
+    "s06_labelled_tree": "SELECT c_custkey, CASE WHEN c_name LIKE '%3%' THEN 1 WHEN c_name LIKE '%5%' THEN 0 END AS label, n.n_name AS type FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c_name LIKE '%3%' OR c_name LIKE '%5%'",
+    "s08_graph_summary": "SELECT o_custkey AS file, count(*) AS calls, count(DISTINCT o_orderstatus) AS methods, CASE WHEN sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) = 0 THEN count(*) + 2 * count(DISTINCT o_orderstatus) ELSE sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) END AS edges FROM orders GROUP BY o_custkey",
+    "s10_first_metric": "SELECT user_id, coalesce(max(CASE WHEN event_type = 'signup' THEN value END), max(CASE WHEN event_type = 'purchase' THEN value END), 0e0) AS edges FROM events GROUP BY user_id",
+    "s11_prediction_source": "SELECT subgroup, label, count(*) AS n FROM (SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 2000 THEN 'medium' WHEN n_chars IS NOT NULL THEN 'large' ELSE 'unknown' END AS subgroup, coalesce(l.toxic, -1) AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x WHERE label >= 0 GROUP BY subgroup, label",
+}
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """sql over the tables it names, as views of this query alone."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b", r"\1 {\2}", sql), **frames)
+
+
+for _name, _sql in QUERIES.items():
+    register(_name, _sql.replace("LEFT SEMI JOIN", "SEMI JOIN"))(partial(run, sql=_sql))
