@@ -36,9 +36,9 @@ from riskloom.llm.rindex import RunLengthIndex
 
 LENGTH, SHORT = 400, 32
 #: Windows of a piece at most; different pieces of a minimizer in a task at most; levels of cutting.
-PIECE, HOT, LEVELS = 2048, 4096, 3
+PIECE, HOT, LEVELS = 2048, 2048, 3
 #: Bytes of text in an index, about, and that a kernel hashes at once.
-INDEX, CHUNK = 2 << 20, 256 << 10
+INDEX, CHUNK = 1 << 20, 256 << 10
 
 
 def minimizers(data: np.ndarray, length: int, short: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
