@@ -10,8 +10,8 @@ Both tables are partitioned by the hash of their n-grams and joined to the docum
 2. N-grams that are at least one in `frequent` of all are at most `frequent` many, whatever the corpus;
    that table is broadcast, and what it answers never leaves the document's task.  So no bucket has a
    hot n-gram, and the longest group of equal n-grams in the join is a small, known share of all.
-3. The other pairs go to their bucket, with what is known of their words, and are joined to the counts.
-   Words that are still unknown then go to their own bucket.  Sums come back by document.
+3. The other pairs go to their bucket, with the counts of their known words, and are joined to the counts.
+   Words that are still needed then go to their own bucket.  Sums come back by document.
 
 Rows hold columns of a bucket packed into bytes: sorted hashes as differences, byte planes apart.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, mix, saved, table, word_spans
 
-ALPHA, CUTOFF, FREQUENT = 0.4, 2, 100_000
+ALPHA, CUTOFF, FREQUENT = 0.4, 2, 1_000_000
 #: Bytes of text that are counted or looked up at once, and of text for a bucket.
 SLICE, BUCKET = 12 << 20, 16 << 20
 
@@ -168,14 +168,21 @@ def frequent_table(tables: DataFrame, least: int) -> list[tuple[np.ndarray, np.n
     return [_sum([g[i] for g in got], [g[i + 1] for g in got]) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for i in (0, 2)]
 
 
-def _sent(hashes: np.ndarray, columns: list[np.ndarray], rows: np.ndarray, text: np.ndarray, buckets: int, part: int) -> list[tuple]:
-    """Rows of lookups by bucket: sorted hashes, their texts and further columns, and the texts' row numbers."""
+def _by_text(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(text, value, n).astype(np.float64)  # of nothing, numpy counts in integers
+
+
+def _sent(hashes: np.ndarray, numbers: list[np.ndarray], words: list[np.ndarray], rows: np.ndarray, text: np.ndarray, buckets: int, part: int) -> list[tuple]:
+    """Rows of lookups by bucket: sorted hashes, their texts, the texts' row numbers and further numbers; of
+    each number that is 0 the word's hash follows, in order."""
     order = np.argsort(hashes, kind="stable")
-    hashes, text, columns = hashes[order], text[order].astype(np.uint32), [c[order] for c in columns]
+    hashes, text, numbers, words = hashes[order], text[order].astype(np.uint32), [c[order] for c in numbers], [w[order] for w in words]
     cut, out = _cuts(hashes, buckets), []
     for k in np.flatnonzero(np.diff(cut)).tolist():
         x = slice(cut[k], cut[k + 1])
-        out.append((k, part, pack(hashes[x], text[x], rows, *(c[x] for c in columns))))
+        used, place = np.unique(text[x], return_inverse=True)
+        open_ = [w[x][n[x] == 0].view(np.int64) for w, n in zip(words, numbers, strict=False)]
+        out.append((k, part, pack(hashes[x], place.astype(np.uint32), rows[used], *(n[x] for n in numbers), *open_)))
     return out
 
 
@@ -199,58 +206,46 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (u, uc), (b, bc) = known.value
-        ul, bl = np.append(np.log(np.maximum(uc, 1)), 0), np.append(np.log(np.maximum(bc, 1)), 0)
+        uc = np.append(uc, 0)  # at place -1: not known
+        ul, bl = np.log(np.maximum(uc, 1)), np.append(np.log(np.maximum(bc, 1)), 0)
         for words, text, rid in _slices(batches):
             word = _find(u, words)
             first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
             pair, second = _pairs(words, text)
             at = _find(b, pair)
             done = at >= 0  # then the first word is at least as frequent, and known
-            local = np.bincount(text[second[done]], bl[at[done]] - ul[word[second[done] - 1]], len(rid))
-            local += np.bincount(text[first], np.where(word[first] >= 0, ul[word[first]] - all_, -all_), len(rid))
+            local = _by_text(text[second[done]], bl[at[done]] - ul[word[second[done] - 1]], len(rid))
+            local += _by_text(text[first], np.where(word[first] >= 0, ul[word[first]] - all_, -all_), len(rid))
             left, s = pair[~done], second[~done]
-            one, two = word[s - 1], word[s]
-            # The hashes of unknown words travel beside the pair; known ones as places in the broadcast table.
-            side = [(one + 1).astype(np.uint32), (two + 1).astype(np.uint32), np.where(one < 0, words[s - 1], 0).astype(np.uint64).view(np.int64), np.where(two < 0, words[s], 0).astype(np.uint64).view(np.int64)]
-            out = _sent(left, side, rid, text[s], buckets, 1)
+            # A known word travels as its count, one that isn't known as its hash.
+            out = _sent(left, [uc[word[s - 1]].astype(np.uint32), uc[word[s]].astype(np.uint32)], [words[s - 1], words[s]], rid, text[s], buckets, 1)
             alone = first[word[first] < 0]
-            out += _sent(words[alone], [np.ones(len(alone), np.int8)], rid, text[alone], buckets, 2)
+            out += _sent(words[alone], [np.ones(len(alone), np.int8)], [], rid, text[alone], buckets, 2)
             out.append((-1, 3, pack(rid, local)))
             yield _batch(out, _NAMES, _KINDS)
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (u, uc), _ = known.value
-        ul = np.log(np.maximum(uc, 1))
-        for _, own in _by_bucket(batches):
-            b, bl = np.zeros(0, np.uint64), np.zeros(0)
-            for part, d in own:
-                if part == 0:
-                    _, _, b, bc = unpack(d)
-                    bl = np.log(bc)
-                    continue
-                pair, text, rid, one, two, w1, w2 = unpack(d)
-                at = _find(b, pair)
-                hit = at >= 0
-                one, two = one.astype(np.int64) - 1, two.astype(np.int64) - 1
-                value = np.where(hit, bl[at] if len(bl) else 0.0, miss - all_)
-                value += np.where(hit & (one >= 0), -ul[one] if len(ul) else 0.0, 0.0) + np.where(~hit & (two >= 0), ul[two] if len(ul) else 0.0, 0.0)
-                out = [(-1, 3, pack(rid, np.bincount(text, value, len(rid))))]
-                a, z = hit & (one < 0), ~hit & (two < 0)
-                words = np.concatenate((w1[a], w2[z])).view(np.uint64)
-                sign = np.concatenate((np.full(a.sum(), -1, np.int8), np.ones(z.sum(), np.int8)))
-                out += _sent(words, [sign], rid, np.concatenate((text[a], text[z])), buckets, 2)
-                yield _batch(out, _NAMES, _KINDS)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _by_bucket(batches):
-            u, ul = np.zeros(0, np.uint64), np.zeros(0)
+            u, ul, b, bl = np.zeros(0, np.uint64), np.zeros(1), np.zeros(0, np.uint64), np.zeros(1)
             for part, d in own:
                 if part == 0:
-                    u, uc, _, _ = unpack(d)
-                    ul = np.log(uc)
-                    continue
-                words, text, rid, sign = unpack(d)
-                yield _batch([(-1, 3, pack(rid, np.bincount(text, sign * ul[_find(u, words)], len(rid))))], _NAMES, _KINDS)
+                    u, uc, b, bc = unpack(d)
+                    ul, bl = np.append(np.log(uc), 0), np.append(np.log(bc), 0)
+                elif part == 1:
+                    pair, text, rid, one, two, w1, w2 = unpack(d)
+                    at = _find(b, pair)
+                    hit = at >= 0
+                    value = np.where(hit, bl[at] - np.log(np.maximum(one, 1)), miss - all_ + np.log(np.maximum(two, 1)))
+                    a, z = hit[one == 0], ~hit[two == 0]  # of the words that aren't known, those that are needed
+                    words = np.concatenate((w1[a], w2[z])).view(np.uint64)
+                    sign = np.concatenate((np.full(a.sum(), -1, np.int8), np.ones(z.sum(), np.int8)))
+                    out = _sent(words, [sign], [], rid, np.concatenate((text[one == 0][a], text[two == 0][z])), buckets, 2)
+                    yield _batch([(-1, 3, pack(rid, _by_text(text, value, len(rid)))), *out], _NAMES, _KINDS)
+                elif part == 2:
+                    words, text, rid, sign = unpack(d)
+                    yield _batch([(-1, 3, pack(rid, _by_text(text, sign * ul[_find(u, words)], len(rid))))], _NAMES, _KINDS)
+                else:
+                    yield _batch([(-1, 3, d)], _NAMES, _KINDS)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,10 +254,10 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
                 rid, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(place, np.concatenate([p[1] for p in parts]), len(rid)))], names=["rid", "s"])
 
-    first = saved(plain.mapInArrow(asked, _SCHEMA))
-    second = saved(_dealt(tables.unionAll(first.where("part = 1")), buckets).mapInArrow(paired, _SCHEMA))
-    third = _dealt(tables.unionAll(first.where("part = 2")).unionAll(second.where("part = 2")), buckets).mapInArrow(single, _SCHEMA)
-    sums = first.where("part = 3").unionAll(second.where("part = 3")).unionAll(third).mapInArrow(summed, "rid long, s double").groupBy("rid").agg(F.sum("s").alias("score"))
+    # Pairs are answered first; the words that this leaves open are asked in a second round.
+    pairs = saved(_dealt(tables.unionAll(plain.mapInArrow(asked, _SCHEMA)), buckets).mapInArrow(answered, _SCHEMA))
+    words = _dealt(tables.unionAll(pairs.where("part = 2")), buckets).mapInArrow(answered, _SCHEMA)
+    sums = pairs.where("part = 3").unionAll(words).mapInArrow(summed, "rid long, s double").groupBy("rid").agg(F.sum("s").alias("score"))
 
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ import xxhash
 import zstandard
 from oracle import check
 
-from riskloom.llm import mixing, rindex, simhash, substring_dedup, toxicity, warc
+from riskloom.llm import lm_scoring, mixing, rindex, simhash, substring_dedup, toxicity, warc
 from riskloom.llm.components import components
 from riskloom.llm.decontamination import contamination
 from riskloom.llm.exact_dedup import exact_groups
@@ -153,6 +153,30 @@ def test_least_cost_flow_prefers_first_uses():
     assert mixing.least_cost_flow([10], [[0]], [100]) == [30]
 
 
+@pytest.mark.parametrize("frequent", [1_000_000, 40, 1])
+def test_lm_scoring(spark, odd, empty, sf_dir, frequent):
+    import math
+
+    docs = odd.select("doc_id", "text").unionAll(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = [(i, word.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))) for i, t in texts(docs)]
+    one, two = collections.Counter(w for _, ws in cut for w in ws), collections.Counter(p for _, ws in cut for p in zip(ws, ws[1:], strict=False))
+    total = sum(one.values())
+
+    def brute(ws):
+        out = math.log(one[ws[0]] / total) if ws else 0.0
+        for a, b in zip(ws, ws[1:], strict=False):
+            out += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
+        return out
+
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    got = sorted(((r.doc_id, r.n_words, r.score) for r in lm_scoring.score(docs, frequent=frequent).collect()), key=key)
+    want = sorted(((i, len(ws), brute(ws)) for i, ws in cut), key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))
+    assert lm_scoring.score(empty).count() == 0
+
+
 def test_exact_dedup(spark, odd, empty):
     rows = texts(odd)
     plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
