@@ -78,8 +78,9 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts as one array of bytes, a newline after each; null is empty.  Offsets has n + 1 places."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    column = pc.binary_join_element_wise(column, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    kind = pa.large_binary()  # a piece of a text may begin or end within a character
+    column = pc.fill_null(column.cast(kind), pa.scalar(b"", kind))
+    column = pc.binary_join_element_wise(column, pa.scalar(b"", kind), pa.scalar(b"\n", kind))
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     if data is None or not len(offsets):

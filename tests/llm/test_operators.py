@@ -122,7 +122,8 @@ def test_substring_dedup(spark, odd, empty):
     rng = np.random.default_rng(2)
     noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
     shared = noise(450)
-    rows = [(200 + i, noise(300) + shared + noise(i)) for i in range(12)] + [(300, "q" * 401), (301, "r" * 400), (302, "xy" * 700), (303, "é" * 200), (304, "é" * 200), (305, "p" + "é" * 200)]
+    accents = "".join(rng.choice(list("äéßñ日"), 300))
+    rows = [(200 + i, noise(300) + shared + noise(i)) for i in range(12)] + [(220 + i, noise(40 + i) + accents + noise(30)) for i in range(12)] + [(300, "q" * 401), (301, "r" * 400), (302, "xy" * 700), (303, "é" * 200), (304, "é" * 200), (305, "p" + "é" * 200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionAll(odd.select("doc_id", "text").where("length(text) < 50000 or text is null"))
     keep = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert counted(substring_dedup.without_repeats(docs).select(keep).collect()) == repeats(texts(docs), 400)
