@@ -34,7 +34,7 @@ from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, m
 
 ALPHA, CUTOFF, FREQUENT = 0.4, 2, 1_000_000
 #: Bytes of text that are counted or looked up at once, and of text for a bucket.
-SLICE, BUCKET = 12 << 20, 16 << 20
+SLICE, BUCKET = 6 << 20, 12 << 20
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -62,7 +62,7 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = joined(part.column("text"))
     data = LOWER[data]
     start, end = word_spans(data)
-    return Spans(data).hash(start, end), np.searchsorted(offsets, start, "right") - 1
+    return Spans(data).hash(start, end), (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
 
 
 def _pairs(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), -1, np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    return np.where(keys[at] == wanted, at, -1).astype(np.int32)
 
 
 def frequent_table(tables: DataFrame, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -172,17 +172,18 @@ def _by_text(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, value, n).astype(np.float64)  # of nothing, numpy counts in integers
 
 
-def _sent(hashes: np.ndarray, numbers: list[np.ndarray], words: list[np.ndarray], rows: np.ndarray, text: np.ndarray, buckets: int, part: int) -> list[tuple]:
+def _sent(hashes: np.ndarray, numbers: list[np.ndarray], words: np.ndarray, places: list[np.ndarray], rows: np.ndarray, text: np.ndarray, buckets: int, part: int) -> list[tuple]:
     """Rows of lookups by bucket: sorted hashes, their texts, the texts' row numbers and further numbers; of
-    each number that is 0 the word's hash follows, in order."""
+    each number that is 0 the hash of the word at its place follows, in order."""
     order = np.argsort(hashes, kind="stable")
-    hashes, text, numbers, words = hashes[order], text[order].astype(np.uint32), [c[order] for c in numbers], [w[order] for w in words]
+    hashes = hashes[order]
     cut, out = _cuts(hashes, buckets), []
     for k in np.flatnonzero(np.diff(cut)).tolist():
-        x = slice(cut[k], cut[k + 1])
-        used, place = np.unique(text[x], return_inverse=True)
-        open_ = [w[x][n[x] == 0].view(np.int64) for w, n in zip(words, numbers, strict=False)]
-        out.append((k, part, pack(hashes[x], place.astype(np.uint32), rows[used], *(n[x] for n in numbers), *open_)))
+        own = order[cut[k] : cut[k + 1]]
+        used, place = np.unique(text[own], return_inverse=True)
+        counts_ = [n[own] for n in numbers]
+        open_ = [words[p[own[n == 0]]].view(np.int64) for p, n in zip(places, counts_, strict=False)]
+        out.append((k, part, pack(hashes[cut[k] : cut[k + 1]], place.astype(np.uint32), rows[used], *counts_, *open_)))
     return out
 
 
@@ -206,8 +207,8 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (u, uc), (b, bc) = known.value
-        uc = np.append(uc, 0)  # at place -1: not known
-        ul, bl = np.log(np.maximum(uc, 1)), np.append(np.log(np.maximum(bc, 1)), 0)
+        known_counts = np.append(uc, 0).astype(np.uint32)  # at place -1: not known
+        ul, bl = np.log(np.maximum(known_counts, 1)), np.append(np.log(np.maximum(bc, 1)), 0)
         for words, text, rid in _slices(batches):
             word = _find(u, words)
             first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
@@ -218,9 +219,9 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
             local += _by_text(text[first], np.where(word[first] >= 0, ul[word[first]] - all_, -all_), len(rid))
             left, s = pair[~done], second[~done]
             # A known word travels as its count, one that isn't known as its hash.
-            out = _sent(left, [uc[word[s - 1]].astype(np.uint32), uc[word[s]].astype(np.uint32)], [words[s - 1], words[s]], rid, text[s], buckets, 1)
+            out = _sent(left, [known_counts[word[s - 1]], known_counts[word[s]]], words, [s - 1, s], rid, text[s], buckets, 1)
             alone = first[word[first] < 0]
-            out += _sent(words[alone], [np.ones(len(alone), np.int8)], [], rid, text[alone], buckets, 2)
+            out += _sent(words[alone], [np.ones(len(alone), np.int8)], words, [], rid, text[alone], buckets, 2)
             out.append((-1, 3, pack(rid, local)))
             yield _batch(out, _NAMES, _KINDS)
 
@@ -239,7 +240,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
                     a, z = hit[one == 0], ~hit[two == 0]  # of the words that aren't known, those that are needed
                     words = np.concatenate((w1[a], w2[z])).view(np.uint64)
                     sign = np.concatenate((np.full(a.sum(), -1, np.int8), np.ones(z.sum(), np.int8)))
-                    out = _sent(words, [sign], [], rid, np.concatenate((text[one == 0][a], text[two == 0][z])), buckets, 2)
+                    out = _sent(words, [sign], words, [], rid, np.concatenate((text[one == 0][a], text[two == 0][z])), buckets, 2)
                     yield _batch([(-1, 3, pack(rid, _by_text(text, value, len(rid)))), *out], _NAMES, _KINDS)
                 elif part == 2:
                     words, text, rid, sign = unpack(d)
