@@ -94,6 +94,19 @@ QUERIES: dict[str, str] = {
     "s06_labelled_tree": "SELECT c_custkey, CASE WHEN c_name LIKE '%3%' THEN 1 WHEN c_name LIKE '%5%' THEN 0 END AS label, n.n_name AS type FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c_name LIKE '%3%' OR c_name LIKE '%5%'",
     "s08_graph_summary": "SELECT o_custkey AS file, count(*) AS calls, count(DISTINCT o_orderstatus) AS methods, CASE WHEN sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) = 0 THEN count(*) + 2 * count(DISTINCT o_orderstatus) ELSE sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) END AS edges FROM orders GROUP BY o_custkey",
     "s10_first_metric": "SELECT user_id, coalesce(max(CASE WHEN event_type = 'signup' THEN value END), max(CASE WHEN event_type = 'purchase' THEN value END), 0e0) AS edges FROM events GROUP BY user_id",
+    # Text sources, over literal lines.
+    "j11_commit_hash": """SELECT url, CASE WHEN regexp_extract(tail, '^([0-9a-fA-F]+)$', 1) <> '' AND length(tail) BETWEEN 7 AND 40 THEN tail END AS commit_hash
+        FROM (SELECT url, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '([^.]*)$', 1) AS tail FROM (VALUES ('https://h/r/commit/0a1b2c3d4e'), ('https://h/r/compare/aaaaaaa..bbbbbbb'), ('https://h/r/commit/xyz'), ('abc12'), ('')) AS t(url)) x""",
+    "s16_heap_rows": """SELECT coalesce(class_name, name) AS class, coalesce(TRY_CAST(replace(coalesce(count_text, n_text), ',', '') AS BIGINT), 0) AS n
+        FROM (VALUES ('java.lang.String', NULL, '1,234', NULL), (NULL, 'int[]', NULL, '77'), ('A', NULL, 'bad', NULL)) AS t(class_name, name, count_text, n_text)""",
+    "s18_profiler_lines": """SELECT CAST(regexp_extract(line, '^ *([0-9]+)[.] ', 1) AS INT) AS place, regexp_extract(line, '[.] (.*) - ', 1) AS name, CAST(regexp_extract(line, ' - ([0-9.]+)s', 1) AS DOUBLE) AS seconds
+        FROM (VALUES ('1. parse - 1.5s (30%)'), ('2. points to - 3.25s (65%)'), ('noise')) AS t(line) WHERE regexp_extract(line, '^ *([0-9]+)[.] .* - [0-9.]+s', 1) <> ''""",
+    "s17_points_to_lines": """SELECT line, text, last_value(method) IGNORE NULLS OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS method
+        FROM (SELECT line, text, CASE WHEN text LIKE 'method %' THEN substring(text, 8) END AS method FROM (VALUES (1, 'method a'), (2, 'x -> o1'), (3, 'y -> o2'), (4, 'method b'), (5, 'z -> o1')) AS t(line, text)) x""",
+    "x14_public_methods": """SELECT regexp_extract(line, 'public +(static +)?[A-Za-z]+ +([A-Za-z0-9_]+) *[(]', 2) AS name, regexp_extract(line, 'public +(static)', 1) = 'static' AS is_static, regexp_extract(line, '[(]([^)]*)[)]', 1) AS params
+        FROM (VALUES ('public static int f(String a, int b) {'), ('public void run() {'), ('private int g(int x) {')) AS t(line) WHERE regexp_extract(line, 'public +(static +)?[A-Za-z]+ +([A-Za-z0-9_]+) *[(]', 2) <> ''""",
+    "s05_expected_results": """SELECT test_name, lower(category) AS category, lower(flag) = 'true' AS real_vuln, cwe FROM (VALUES ('T1', 'SQLi', 'TRUE', '89'), ('# c', '', '', ''), ('T2', 'XSS', 'false', '79')) AS t(test_name, category, flag, cwe) WHERE NOT test_name LIKE '#%'""",
+    "s22_effectiveness_pairs": """SELECT regexp_extract(k, '^([^:]*)::', 1) AS sink, regexp_extract(k, '::(.*)$', 1) AS sanitizer, TRY_CAST(v AS DOUBLE) AS effectiveness FROM (VALUES ('sql::param', '0.95'), ('xss::enc::html', '0.9'), ('bad', 'x'), ('url::enc', 'no')) AS t(k, v) WHERE k LIKE '%::%' AND TRY_CAST(v AS DOUBLE) IS NOT NULL""",
     "s11_prediction_source": "SELECT subgroup, label, count(*) AS n FROM (SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 2000 THEN 'medium' WHEN n_chars IS NOT NULL THEN 'large' ELSE 'unknown' END AS subgroup, coalesce(l.toxic, -1) AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x WHERE label >= 0 GROUP BY subgroup, label",
 }
 
@@ -106,4 +119,4 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 for _name, _sql in QUERIES.items():
-    register(_name, _sql.replace("LEFT SEMI JOIN", "SEMI JOIN"))(partial(run, sql=_sql))
+    register(_name, _sql.replace("LEFT SEMI JOIN", "SEMI JOIN").replace("(method) IGNORE NULLS", "(method IGNORE NULLS)"))(partial(run, sql=_sql))
