@@ -154,7 +154,10 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, hot: int = HOT, lev
     b must tell texts with one a apart.
     """
     spark = texts.sparkSession
-    own = saved(_cut(texts, length, level, 1 if level == levels else PIECE))
+    own = _cut(texts, length, level, 1 if level == levels else PIECE)
+    if level == levels:  # equal single windows have equal contents too, so a minimizer's windows needn't stay together
+        own = own.withColumn("key", F.xxhash64("key", "content"))
+    own = saved(own)
     first = F.min(F.struct("a", "b", "start", "n")).alias("first")
     distinct = own.groupBy("key", "content").agg(F.count("*").alias("rows"), F.max("twice").alias("twice"), first)
     several = distinct.groupBy("key").agg(F.count("*").alias("different"), F.sum("rows").alias("all"), F.max("twice").alias("any")).where("`all` > 1 or any")
