@@ -34,7 +34,7 @@ from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, m
 
 ALPHA, CUTOFF, FREQUENT = 0.4, 2, 1_000_000
 #: Bytes of text that are counted or looked up at once, and of text for a bucket.
-SLICE, BUCKET = 6 << 20, 12 << 20
+SLICE, BUCKET = 6 << 20, 8 << 20
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -191,6 +191,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
     """id_, n_words, score and mean (the score by word; 0 without words) of every row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))  # packed rows grow when they are read
     rows = docs.select(F.col(id_).alias("id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plain = rows.select("rid", "text")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
