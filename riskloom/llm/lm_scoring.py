@@ -21,6 +21,7 @@ and count each in the corpus.
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterator
 
@@ -197,6 +198,9 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(max(16, size // BUCKET))
     tables = counts(plain, buckets, cutoff)
+    # The tables are written: Spark drops the shuffle files behind them once its garbage is collected.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
