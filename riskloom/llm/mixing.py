@@ -6,10 +6,13 @@ can be used up to `most` times, the k-th use costing k a token, so the least cos
 as possible; a source takes its quota.  The flow tells how often each pattern's tokens are used.
 
 Of a pattern with flow f and size s every document is taken floor(f / s) times; the rest goes to
-documents in the order of a seeded hash.  The order is cut without sorting a source: sizes are
-summed by hash bucket, the sums of the buckets find the bucket in which the rest runs out, and only
-that bucket is sorted.  What is still missing is filled, twice, by the largest document not yet
-chosen that fits.  Documents are taken whole.
+documents in the order of a seeded hash, skipping those that don't fit.  The order is cut without
+sorting a source: sizes are summed by hash bucket, the sums of the buckets find the bucket in which
+the rest runs out, and only that bucket is sorted.  Of the documents after the one that didn't fit,
+those that still fit are cut again, until none is left.  Documents are taken whole.
+
+`op4_mixing` gives the rows of its SQL, which stops at the first document that doesn't fit and then
+takes, FILL times, the largest document that does: there a source can stay far below its target.
 
 The driver sees sums by pattern: as many rows as there are patterns (checked against `patterns`).
 
@@ -20,6 +23,7 @@ taken 0.  Sources of size 0 have target 0.  Rows that repeat an id are documents
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +33,7 @@ from riskloom.llm.common import saved, table
 
 #: Fixed: weights of the sources in their order, repeating; uses of a document at most.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Hash buckets of a pattern, rounds of filling, and patterns at most.
+#: Hash buckets of a pattern, rounds of filling in the SQL's rule, and patterns at most.
 BUCKETS, FILL, PATTERNS = 4096, 2, 100_000
 SEED = "mix"
 
@@ -121,11 +125,13 @@ def _hash(seed: str, *columns: str) -> Column:
     return F.md5(F.concat(F.lit(seed), *[F.concat(F.lit("|"), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns]).cast("binary"))
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, text: str = "text", id_: str = "doc_id", source: str = "source") -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, fill: int | None = None, text: str = "text", id_: str = "doc_id", source: str = "source") -> DataFrame:
     """id_, size, source_size, target and taken of every row of docs.
 
     source: a column of one source or of an array of sources; of several, source_size and target are
     the sums over the document's sources.
+    fill: None to skip what doesn't fit and go on; a number to stop there and fill so many times by
+    the largest document that fits, as OP4_SQL does.
     """
     spark = docs.sparkSession
     several = isinstance(docs.schema[source].dataType, T.ArrayType)
@@ -150,9 +156,29 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
         T.StructType([T.StructField("p", rows.schema["pattern"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("times", T.LongType()), T.StructField("rest", T.LongType())]),
     )
     plan = F.broadcast(plan)  # a row for each pattern, at most PATTERNS
+    if fill is None:
+        chosen = _first_fit(rows, plan)
+    else:
+        chosen = saved(_prefix(rows, plan.select("p", "rest")))
+        for _ in range(fill):
+            chosen = _filled(chosen, plan)
+    out = chosen.join(plan, F.col("pattern").eqNullSafe(F.col("p")))
+    taken = F.when(F.col("size") > 0, (F.col("times") + F.col("more")) * F.col("size")).otherwise(F.lit(0))
+    return out.select(F.col("id").alias(id_), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def _overlapping(got: list, sizes: list[int], weights: tuple[float, ...], most: int) -> list[float]:
+    """Targets whose sum is the corpus, not the sum of sources that share documents."""
+    whole = sum(r["size"] for r in got)
+    share = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
+    return [t * whole / sum(sizes) if sum(sizes) else 0.0 for t in share]
+
+
+def _prefix(rows: DataFrame, rests: DataFrame) -> DataFrame:
+    """rows with more: 1 for a pattern's documents in hash order up to its rest, before the first that doesn't fit."""
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("size"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = sums.withColumn("upto", F.sum("size").over(before)).join(plan, F.col("pattern").eqNullSafe(F.col("p")))
+    cut = sums.withColumn("upto", F.sum("size").over(before)).join(F.broadcast(rests), F.col("pattern").eqNullSafe(F.col("p")))
     # A bucket is whole if it fits; in the first that doesn't, documents are taken while they fit.
     cut = saved(cut.select("pattern", "bucket", F.when(F.col("upto") <= F.col("rest"), F.lit(-1)).when(F.col("upto") - F.col("size") < F.col("rest"), F.col("rest") - F.col("upto") + F.col("size")).alias("room")).where("room is not null"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -160,19 +186,26 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     parted = parted.withColumn("more", (F.sum("size").over(inside) <= F.col("room")).cast("int")).drop("room")
     whole = rows.join(cut.withColumnsRenamed({"pattern": "p", "bucket": "b"}), F.col("pattern").eqNullSafe(F.col("p")) & (F.col("bucket") == F.col("b")), "left")
     rest = whole.where("room is null or room < 0").select(*rows.columns, F.coalesce((F.col("room") < 0).cast("int"), F.lit(0)).alias("more"))
-    chosen = saved(rest.unionAll(parted.select(*rest.columns)))
-    for _ in range(FILL):
-        chosen = _filled(chosen, plan)
-    out = chosen.join(plan, F.col("pattern").eqNullSafe(F.col("p")))
-    taken = F.when(F.col("size") > 0, (F.col("times") + F.col("more")) * F.col("size")).otherwise(F.lit(0))
-    return out.select(F.col("id").alias(id_), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rest.unionAll(parted.select(*rest.columns))
 
 
-def _overlapping(got: list, sizes: list[int], weights: tuple[float, ...], most: int) -> list[float]:
-    """Targets whose sum is the corpus, not the sum of sources that share documents."""
-    whole = sum(r["size"] for r in got)
-    share = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-    return [t * whole / sum(sizes) if sum(sizes) else 0.0 for t in share]
+def _first_fit(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with more: 1 for each document that fits what the documents before it in hash order have left of the rest.
+
+    A round takes the prefix up to a document that doesn't fit; no later document as large can fit, and
+    the smaller ones are the next round's.  Rows leave once they are decided, so rounds get small.
+    """
+    open_, rests, told = rows, plan.select("p", "rest"), []
+    while True:
+        cut = saved(_prefix(open_, rests))
+        have = cut.where("more = 1").groupBy("pattern").agg(F.sum("size").alias("have"))
+        rests = saved(rests.join(have, F.col("p").eqNullSafe(F.col("pattern")), "left").select("p", (F.col("rest") - F.coalesce("have", F.lit(0))).alias("rest")))
+        cut = cut.join(F.broadcast(rests), F.col("pattern").eqNullSafe(F.col("p"))).drop("p")
+        fits = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+        told.append(cut.where(~fits).drop("rest"))
+        open_ = cut.where(fits).select(*rows.columns)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionAll, told)
 
 
 def _filled(chosen: DataFrame, plan: DataFrame) -> DataFrame:
@@ -187,6 +220,11 @@ def _filled(chosen: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), fill=FILL)
+
+
+def op4_mixing_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_mixing, skipping what doesn't fit until no document does; no SQL."""
     return mixture(table(spark, sf_dir, "documents"))
 
 

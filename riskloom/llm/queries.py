@@ -10,7 +10,7 @@ from riskloom.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.licenses import op2_license_scan
 from riskloom.llm.lm_scoring import OP5_SQL, op5_lm_scoring
-from riskloom.llm.mixing import OP4_SQL, op4_mixing
+from riskloom.llm.mixing import OP4_SQL, op4_mixing, op4_mixing_to_target
 from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.substring_dedup import op3_substring_dedup
 from riskloom.llm.token_counts import op1_token_counts
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op4_mixing_to_target": op4_mixing_to_target,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,

@@ -146,6 +146,25 @@ def test_mixing(spark, odd, empty):
     assert share[0] == 300 and share[2] == 30 and share[3] == 0 and abs(sum(share) - 1110) < 1e-9
 
 
+def test_mixing_goes_on_after_what_does_not_fit(spark):
+    """A giant document first in hash order, larger than the rest of its target, is skipped; its source still gets to its target."""
+    md5 = lambda i: hashlib.md5(f"mix|{i}".encode()).hexdigest()
+    giant = min(range(1000, 1400), key=md5)
+    size = {i: 40_000 if i == giant else 1 + i % 97 for i in range(1000, 1400)} | {i: i % 89 for i in range(2000, 3000)}
+    docs = spark.createDataFrame([(i, "w " * n, "a" if i < 2000 else "b") for i, n in size.items()], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mixture(docs).collect()}
+    assert {i: r["size"] for i, r in got.items()} == size
+    for own in ([i for i in size if i < 2000], [i for i in size if i >= 2000]):
+        target, source_size = round(got[own[0]].target), got[own[0]].source_size
+        left, want = target % source_size, {}
+        for i in sorted(own, key=md5):
+            take = size[i] <= left
+            left -= size[i] * take
+            want[i] = (target // source_size + take) * size[i]
+        assert {i: got[i].taken for i in own} == want
+        assert abs(sum(want.values()) - target) < 0.001 * target
+
+
 def test_least_cost_flow_prefers_first_uses():
     # Source 0 can use patterns 0 and 1, source 1 only pattern 1: no token is repeated while another is free.
     assert mixing.least_cost_flow([100, 100], [[0], [0, 1]], [100, 100]) == [100, 100]
