@@ -1,19 +1,24 @@
-"""Operator 5: language-model scores by stupid backoff over bigram and unigram counts.
+"""Operator 5: language-model scores by stupid backoff over n-gram counts of any order.
 
-A word's score is count(previous, word) / count(previous) where the pair occurs at least `cutoff` times
-in the corpus, else `alpha` * count(word) / words; a document's first word has count(word) / words.
-The score of a document is the sum of the natural logarithms.
+A word's score is count(context, word) / count(context) of the longest context, of order - 1 words at most
+and within the document, if that n-gram occurs at least `cutoff` times in the corpus; else `alpha` * the
+score by the context without its first word; without context it is count(word) / words.  The score of a
+document is the sum of the natural logarithms.
 
-Both tables are partitioned by the hash of their n-grams and joined to the documents' n-grams there:
+The counts of all orders are partitioned by the hash of their n-grams and joined to the documents' n-grams there:
 
 1. Tasks count the n-grams of a slice of texts before the shuffle; the counts are added by bucket.
-2. N-grams that are at least one in `frequent` of all are at most `frequent` many, whatever the corpus;
-   that table is broadcast, and what it answers never leaves the document's task.  So no bucket has a
-   hot n-gram, and the longest group of equal n-grams in the join is a small, known share of all.
-3. The other pairs go to their bucket, with the counts of their known words, and are joined to the counts.
-   Words that are still needed then go to their own bucket.  Sums come back by document.
+2. N-grams that are at least one in `frequent` of all are at most `frequent` many of an order, whatever the
+   corpus; that table is broadcast, and what it answers never leaves its task.  So no bucket has a hot
+   n-gram, and the longest group of equal n-grams in the join is a small, known share of all.
+3. The other n-grams go to their bucket as their words.  One that is counted there asks for its context,
+   one that isn't for the n-gram without its first word, each in the bucket of its own in the next round;
+   so there are as many rounds as orders at most.  Sums come back by document.
 
-Rows hold columns of a bucket packed into bytes: sorted hashes as differences, byte planes apart.
+`op5_lm_scoring` gives the rows of its SQL, which takes pairs from two occurrences on;
+`op5_lm_scoring_trigrams` takes triples and all counts.
+
+Rows hold columns of a bucket packed into bytes: sorted numbers as differences, byte planes apart.
 
 Null, empty and wordless texts have score 0 and no words.  Repeated rows are scored each on its own,
 and count each in the corpus.
@@ -24,6 +29,8 @@ from __future__ import annotations
 import gc
 import pickle
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +40,13 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, mix, saved, table, word_spans
 
-ALPHA, CUTOFF, FREQUENT = 0.4, 2, 1_000_000
+ORDER, ALPHA, CUTOFF, FREQUENT = 2, 0.4, 2, 1_000_000
 #: Bytes of text that are counted or looked up at once, and of text for a bucket.
 SLICE, BUCKET = 6 << 20, 8 << 20
+#: Packed bytes of lookups that a bucket answers at once.
+RUN = 2 << 20
+#: Parts of a bucket's rows: 0 the counts, 2 * k contexts of k words, 2 * k + 1 n-grams of k words to score, DONE sums.
+DONE = 1 << 20
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -66,10 +77,19 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return Spans(data).hash(start, end), (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
 
 
-def _pairs(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the pairs, and the places of their second words."""
-    second = np.flatnonzero(text[1:] == text[:-1]) + 1
-    return mix(words[second - 1] * np.uint64(3) + words[second]), second
+def _grams(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of the n-grams whose first, second, ... words are given."""
+    out = words[0]
+    for w in words[1:]:
+        out = mix(out * np.uint64(3) + w)
+    return out
+
+
+def _depths(text: np.ndarray) -> np.ndarray:
+    """How many words of its text come up to each, itself among them."""
+    place = np.arange(len(text))
+    new = np.concatenate(([True], text[1:] != text[:-1])) if len(text) else np.zeros(0, bool)
+    return place - np.maximum.accumulate(np.where(new, place, 0)) + 1
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
@@ -104,38 +124,52 @@ _SCHEMA = "bucket int, part int, data binary"
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
     """(bucket, its (part, data) in order) of sorted rows."""
-    from itertools import groupby
-
     rows = ((b, p, d) for batch in batches for b, p, d in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True))
     for bucket, own in groupby(rows, key=lambda r: r[0]):
         yield bucket, ((p, d) for _, p, d in own)
 
 
+def _runs(own: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, list[bytes]]]:
+    """(part, data of about RUN bytes together) of a bucket's rows, so that few rows leave a bucket."""
+    for part, rows in groupby(own, key=lambda r: r[0]):
+        held, size = [], 0
+        for _, d in rows:
+            held.append(d)
+            size += len(d)
+            if size >= RUN:
+                yield part, held
+                held, size = [], 0
+        if held:
+            yield part, held
+
+
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
 
 
-def counts(docs: DataFrame, buckets: int, cutoff: int) -> DataFrame:
-    """A row for each bucket (part 0): hashes and counts of its words, and of its pairs from cutoff on."""
+def counts(docs: DataFrame, buckets: int, cutoff: int, order: int = ORDER) -> DataFrame:
+    """A row for each bucket (part 0): hashes and counts of its words, then of its n-grams of each order from cutoff on."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, text, _ in _slices(batches):
-            u, uc = np.unique(words, return_counts=True)
-            b, bc = np.unique(_pairs(words, text)[0], return_counts=True)
-            ucut, bcut = _cuts(u, buckets), _cuts(b, buckets)
+            depth, found = _depths(text), []
+            for k in range(1, order + 1):
+                at = np.flatnonzero(depth >= k)
+                h, n = np.unique(_grams([words[at - j] for j in reversed(range(k))]), return_counts=True)
+                found.append((h, n.astype(np.uint32), _cuts(h, buckets)))
             rows = []
-            for k in range(buckets):
-                x, y = slice(ucut[k], ucut[k + 1]), slice(bcut[k], bcut[k + 1])
-                if x.start < x.stop or y.start < y.stop:
-                    rows.append((k, 0, pack(u[x], uc[x].astype(np.uint32), b[y], bc[y].astype(np.uint32))))
+            for b in range(buckets):
+                if any(c[b] < c[b + 1] for _, _, c in found):
+                    rows.append((b, 0, pack(*(x[c[b] : c[b + 1]] for h, n, c in found for x in (h, n)))))
             yield _batch(rows, _NAMES, _KINDS)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, own in _by_bucket(batches):
-            parts = [unpack(d) for _, d in own]
-            u, uc = _sum([p[0] for p in parts], [p[1] for p in parts])
-            b, bc = _sum([p[2] for p in parts], [p[3] for p in parts])
-            yield _batch([(bucket, 0, pack(u, uc, b[bc >= cutoff], bc[bc >= cutoff]))], _NAMES, _KINDS)
+            parts, out = [unpack(d) for _, d in own], []
+            for k in range(1, order + 1):
+                h, n = _sum([p[2 * k - 2] for p in parts], [p[2 * k - 1] for p in parts])
+                out += [h, n] if k == 1 else [h[n >= cutoff], n[n >= cutoff]]
+            yield _batch([(bucket, 0, pack(*out))], _NAMES, _KINDS)
 
     return saved(_dealt(docs.mapInArrow(counted, _SCHEMA), buckets).mapInArrow(added, _SCHEMA))
 
@@ -156,40 +190,97 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1).astype(np.int32)
 
 
-def frequent_table(tables: DataFrame, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Words and pairs of at least `least` counts: at most words / least of either."""
+def frequent_table(tables: DataFrame, least: int, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """N-grams of each order of at least `least` counts: at most words / least of each."""
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d in batch.column("data").to_pylist():
-                u, uc, b, bc = unpack(d)
-                yield _batch([(0, 0, pack(u[uc >= least], uc[uc >= least], b[bc >= least], bc[bc >= least]))], _NAMES, _KINDS)
+                t = unpack(d)
+                yield _batch([(0, 0, pack(*(x[t[i + 1] >= least] for i in range(0, 2 * order, 2) for x in (t[i], t[i + 1]))))], _NAMES, _KINDS)
 
     got = [unpack(r.data) for r in tables.mapInArrow(picked, _SCHEMA).collect()]
-    return [_sum([g[i] for g in got], [g[i + 1] for g in got]) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for i in (0, 2)]
+    return [_sum([g[i] for g in got], [g[i + 1] for g in got]) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for i in range(0, 2 * order, 2)]
 
 
 def _by_text(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, value, n).astype(np.float64)  # of nothing, numpy counts in integers
 
 
-def _sent(hashes: np.ndarray, numbers: list[np.ndarray], words: np.ndarray, places: list[np.ndarray], rows: np.ndarray, text: np.ndarray, buckets: int, part: int) -> list[tuple]:
-    """Rows of lookups by bucket: sorted hashes, their texts, the texts' row numbers and further numbers; of
-    each number that is 0 the hash of the word at its place follows, in order."""
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    cut, out = _cuts(hashes, buckets), []
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        own = order[cut[k] : cut[k + 1]]
-        used, place = np.unique(text[own], return_inverse=True)
-        counts_ = [n[own] for n in numbers]
-        open_ = [words[p[own[n == 0]]].view(np.int64) for p, n in zip(places, counts_, strict=False)]
-        out.append((k, part, pack(hashes[cut[k] : cut[k + 1]], place.astype(np.uint32), rows[used], *counts_, *open_)))
-    return out
+def _sums(rid: np.ndarray, value: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of sums by text; a text's go to one bucket, and neighbours to the same."""
+    block = ((rid >> 33) + ((rid & ((1 << 33) - 1)) >> 10)) % buckets
+    order = np.lexsort((rid, block))
+    cut = np.searchsorted(block[order], np.arange(buckets + 1))
+    return [(k, DONE, pack(rid[own].astype(np.uint64), value[own])) for k in np.flatnonzero(np.diff(cut)).tolist() for own in [order[cut[k] : cut[k + 1]]]]
+
+
+class Lookups:
+    """What a task answers by the frequent n-grams, and the rows of what it asks the buckets."""
+
+    def __init__(self, known: list[tuple[np.ndarray, np.ndarray]], total: int, buckets: int):
+        self.keys = [h for h, _ in known]
+        self.logs = [np.append(np.log(np.maximum(n, 1)), 0) for _, n in known]  # at place -1: not known
+        self.all, self.buckets = np.log(max(total, 1)), buckets
+        self.width = np.uint64(((1 << 64) - 1) // buckets + 1)
+
+    def _sent(self, words: list[np.ndarray], text: np.ndarray, rows: np.ndarray, part: int) -> list[tuple]:
+        """Rows by bucket: places of the texts, which are in order, the texts' row numbers, and the words; a known word
+        travels as its place among the known, and after these come the hashes of those that aren't known, in order."""
+        bucket = (_grams(words) // self.width).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut, out = np.searchsorted(bucket[order], np.arange(self.buckets + 1)), []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            own = order[cut[k] : cut[k + 1]]
+            used, place = np.unique(text[own], return_inverse=True)
+            at = [_find(self.keys[0], w[own]) for w in words]
+            open_ = [w[own][a < 0].view(np.int64) for w, a in zip(words, at, strict=True)]
+            out.append((k, part, pack(place.astype(np.uint64), rows[used].astype(np.uint64), *(a.astype(np.int32) for a in at), *open_)))
+        return out
+
+    def received(self, data: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(words, texts, row numbers) of rows of _sent, together."""
+        words, text, rows, n = [[] for _ in range(order)], [], [], 0
+        for d in data:
+            place, own, *columns = unpack(d)
+            text.append(place.astype(np.int64) + n)
+            rows.append(own.astype(np.int64))
+            n += len(own)
+            for out, at, open_ in zip(words, columns[:order], columns[order:], strict=True):
+                word = np.empty(len(at), np.uint64)
+                word[at >= 0], word[at < 0] = self.keys[0][at[at >= 0]], open_.view(np.uint64)
+                out.append(word)
+        return [np.concatenate(w) for w in words], np.concatenate(text), np.concatenate(rows)
+
+    def contexts(self, words: list[np.ndarray], text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """The parts that counts of contexts have in the scores: sums by text so far, and rows that ask for the others."""
+        k = len(words)
+        at = _find(self.keys[k - 1], _grams(words))
+        left = at < 0
+        return _by_text(text, -self.logs[k - 1][at], len(rows)), self._sent([w[left] for w in words], text[left], rows, 2 * k)
+
+    def scores(self, words: list[np.ndarray], text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """The scores of the last words after the others, in the same form."""
+        k = len(words)
+        at = _find(self.keys[k - 1], _grams(words))
+        hit, left = at >= 0, at < 0
+        value = self.logs[k - 1][at[hit]]
+        # A context is at least as frequent as what follows it, so it is known too.
+        value = value - (self.logs[k - 2][_find(self.keys[k - 2], _grams([w[hit] for w in words[:-1]]))] if k > 1 else self.all)
+        return _by_text(text[hit], value, len(rows)), self._sent([w[left] for w in words], text[left], rows, 2 * k + 1)
+
+
+def _let_go(spark: SparkSession) -> None:
+    """What is saved is written: Spark drops the shuffle files behind it once its garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent: int = FREQUENT, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """id_, n_words, score and mean (the score by word; 0 without words) of every row of docs."""
+def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent: int = FREQUENT, text: str = "text", id_: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """id_, n_words, score and mean (the score by word; 0 without words) of every row of docs.
+
+    order: words of the longest n-grams.  cutoff: least count of an n-gram of two words or more; 1 for all.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))  # packed rows grow when they are read
@@ -197,73 +288,72 @@ def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent:
     plain = rows.select("rid", "text")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(max(16, size // BUCKET))
-    tables = counts(plain, buckets, cutoff)
-    # The tables are written: Spark drops the shuffle files behind them once its garbage is collected.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    tables = counts(plain, buckets, cutoff, order)
+    _let_go(spark)
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int(unpack(d)[1].sum()) for d in batch.column("data").to_pylist()], pa.int64())], names=["n"])
 
     total = tables.mapInArrow(sized, "n long").agg(F.sum("n")).first()[0] or 0
-    known = spark.sparkContext.broadcast(frequent_table(tables, max(cutoff, -(-total // frequent))))
-    miss, all_ = np.log(alpha), np.log(max(total, 1))
+    known = spark.sparkContext.broadcast(frequent_table(tables, max(cutoff, -(-total // frequent)), order))
+    miss = np.log(alpha)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (u, uc), (b, bc) = known.value
-        known_counts = np.append(uc, 0).astype(np.uint32)  # at place -1: not known
-        ul, bl = np.log(np.maximum(known_counts, 1)), np.append(np.log(np.maximum(bc, 1)), 0)
+        lookups = Lookups(known.value, total, buckets)
         for words, text, rid in _slices(batches):
-            word = _find(u, words)
-            first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
-            pair, second = _pairs(words, text)
-            at = _find(b, pair)
-            done = at >= 0  # then the first word is at least as frequent, and known
-            local = _by_text(text[second[done]], bl[at[done]] - ul[word[second[done] - 1]], len(rid))
-            local += _by_text(text[first], np.where(word[first] >= 0, ul[word[first]] - all_, -all_), len(rid))
-            left, s = pair[~done], second[~done]
-            # A known word travels as its count, one that isn't known as its hash.
-            out = _sent(left, [known_counts[word[s - 1]], known_counts[word[s]]], words, [s - 1, s], rid, text[s], buckets, 1)
-            alone = first[word[first] < 0]
-            out += _sent(words[alone], [np.ones(len(alone), np.int8)], words, [], rid, text[alone], buckets, 2)
-            out.append((-1, 3, pack(rid, local)))
-            yield _batch(out, _NAMES, _KINDS)
+            depth, local, out = np.minimum(_depths(text), order), np.zeros(len(rid)), []
+            for k in range(1, order + 1):
+                at = np.flatnonzero(depth == k)
+                value, rows = lookups.scores([words[at - j] for j in reversed(range(k))], text[at], rid)
+                local += value
+                out += rows
+            yield _batch([*out, *_sums(rid, local, buckets)], _NAMES, _KINDS)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _by_bucket(batches):
-            u, ul, b, bl = np.zeros(0, np.uint64), np.zeros(1), np.zeros(0, np.uint64), np.zeros(1)
-            for part, d in own:
+        lookups = Lookups(known.value, total, buckets)
+        for bucket, own in _by_bucket(batches):
+            tables_ = []
+            for part, data in _runs(own):
                 if part == 0:
-                    u, uc, b, bc = unpack(d)
-                    ul, bl = np.append(np.log(uc), 0), np.append(np.log(bc), 0)
-                elif part == 1:
-                    pair, text, rid, one, two, w1, w2 = unpack(d)
-                    at = _find(b, pair)
-                    hit = at >= 0
-                    value = np.where(hit, bl[at] - np.log(np.maximum(one, 1)), miss - all_ + np.log(np.maximum(two, 1)))
-                    a, z = hit[one == 0], ~hit[two == 0]  # of the words that aren't known, those that are needed
-                    words = np.concatenate((w1[a], w2[z])).view(np.uint64)
-                    sign = np.concatenate((np.full(a.sum(), -1, np.int8), np.ones(z.sum(), np.int8)))
-                    out = _sent(words, [sign], words, [], rid, np.concatenate((text[one == 0][a], text[two == 0][z])), buckets, 2)
-                    yield _batch([(-1, 3, pack(rid, _by_text(text, value, len(rid)))), *out], _NAMES, _KINDS)
-                elif part == 2:
-                    words, text, rid, sign = unpack(d)
-                    yield _batch([(-1, 3, pack(rid, _by_text(text, sign * ul[_find(u, words)], len(rid))))], _NAMES, _KINDS)
+                    t = unpack(data[0])
+                    tables_ = [(t[i], np.append(np.log(t[i + 1]), 0)) for i in range(0, 2 * order, 2)]
+                elif part == DONE:
+                    yield _batch([(bucket, DONE, d) for d in data], _NAMES, _KINDS)
                 else:
-                    yield _batch([(-1, 3, d)], _NAMES, _KINDS)
+                    k, of_context = part // 2, part % 2 == 0
+                    words, text, rid = lookups.received(data, k)
+                    keys, logs = tables_[k - 1]
+                    at, out = _find(keys, _grams(words)), []
+                    if of_context:
+                        local = _by_text(text, -logs[at], len(rid))
+                    elif k == 1:
+                        local = _by_text(text, logs[at] - lookups.all, len(rid))
+                    else:
+                        hit = at >= 0
+                        local = _by_text(text, np.where(hit, logs[at], miss), len(rid))
+                        for ask, w, who in ((lookups.contexts, words[:-1], hit), (lookups.scores, words[1:], ~hit)):
+                            value, rows = ask([x[who] for x in w], text[who], rid)
+                            local += value
+                            out += rows
+                    yield _batch([*out, *_sums(rid, local, buckets)], _NAMES, _KINDS)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [unpack(d) for d in batch.column("data").to_pylist()]
-            if parts:
-                rid, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(place, np.concatenate([p[1] for p in parts]), len(rid)))], names=["rid", "s"])
-
-    # Pairs are answered first; the words that this leaves open are asked in a second round.
-    pairs = saved(_dealt(tables.unionAll(plain.mapInArrow(asked, _SCHEMA)), buckets).mapInArrow(answered, _SCHEMA))
-    words = _dealt(tables.unionAll(pairs.where("part = 2")), buckets).mapInArrow(answered, _SCHEMA)
-    sums = pairs.where("part = 3").unionAll(words).mapInArrow(summed, "rid long, s double").groupBy("rid").agg(F.sum("s").alias("score"))
+        for _, own in _by_bucket(batches):
+            parts = [unpack(d) for _, d in own]
+            rid, place = np.unique(np.concatenate([p[0] for p in parts]).astype(np.int64), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(place, np.concatenate([p[1] for p in parts]), len(rid)))], names=["rid", "score"])
+
+    # Each round leaves n-grams that are a word shorter.
+    asks, sums = plain.mapInArrow(asked, _SCHEMA), []
+    for _ in range(order):
+        told = saved(_dealt(tables.unionAll(asks), buckets).mapInArrow(answered, _SCHEMA))
+        sums.append(told.where(F.col("part") == DONE))
+        asks = told.where(F.col("part") != DONE)
+        _let_go(spark)
+        if asks.isEmpty():
+            break
+    sums = _dealt(reduce(DataFrame.unionAll, sums), buckets).mapInArrow(summed, "rid long, score double")
 
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,6 +371,11 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean", 9).alias("mean"))
 
 
+def op5_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score(table(spark, sf_dir, "documents"), cutoff=1, order=3)
+    return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean", 9).alias("mean"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT rid, unnest(w) AS w2, unnest(range(len(w))) AS i FROM d),
@@ -292,3 +387,16 @@ s AS (SELECT rid, sum(ln(CASE WHEN q.w1 IS NULL THEN u2.c / total::DOUBLE WHEN b
   FROM q JOIN u u2 ON u2.w = q.w2 LEFT JOIN u u1 ON u1.w = q.w1 LEFT JOIN b ON b.w1 = q.w1 AND b.w2 = q.w2 CROSS JOIN n GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score, round(CASE WHEN len(w) > 0 THEN score / len(w) ELSE 0 END, 9) AS mean FROM d LEFT JOIN s USING (rid)
 """
+
+OP5_TRIGRAMS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT rid, unnest(w) AS w3, unnest(range(len(w))) AS i FROM d),
+q AS (SELECT *, lag(w3) OVER (PARTITION BY rid ORDER BY i) AS w2, lag(w3, 2) OVER (PARTITION BY rid ORDER BY i) AS w1 FROM p),
+u AS (SELECT w3 AS w, count(*) AS c FROM q GROUP BY w3),
+b AS (SELECT w2 AS v, w3 AS w, count(*) AS c FROM q WHERE w2 IS NOT NULL GROUP BY w2, w3),
+t AS (SELECT w1, w2, w3, count(*) AS c FROM q WHERE w1 IS NOT NULL GROUP BY w1, w2, w3),
+n AS (SELECT count(*) AS total FROM q),
+s AS (SELECT rid, sum(ln(CASE WHEN q.w2 IS NULL THEN u1.c / total::DOUBLE WHEN q.w1 IS NULL THEN b1.c / u2.c::DOUBLE ELSE t.c / b2.c::DOUBLE END)) AS score
+  FROM q JOIN u u1 ON u1.w = q.w3 LEFT JOIN u u2 ON u2.w = q.w2 LEFT JOIN b b1 ON b1.v = q.w2 AND b1.w = q.w3 LEFT JOIN b b2 ON b2.v = q.w1 AND b2.w = q.w2 LEFT JOIN t ON t.w1 = q.w1 AND t.w2 = q.w2 AND t.w3 = q.w3 CROSS JOIN n GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score, round(CASE WHEN len(w) > 0 THEN score / len(w) ELSE 0 END, 9) AS mean FROM d LEFT JOIN s USING (rid)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.licenses import op2_license_scan
-from riskloom.llm.lm_scoring import OP5_SQL, op5_lm_scoring
+from riskloom.llm.lm_scoring import OP5_SQL, OP5_TRIGRAMS_SQL, op5_lm_scoring, op5_lm_scoring_trigrams
 from riskloom.llm.mixing import OP4_SQL, op4_mixing, op4_mixing_to_target
 from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.substring_dedup import op3_substring_dedup
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op4_mixing_to_target": op4_mixing_to_target,
     "op5_lm_scoring": op5_lm_scoring,
+    "op5_lm_scoring_trigrams": op5_lm_scoring_trigrams,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_warc": op8_warc,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op5_lm_scoring": OP5_SQL,
+    "op5_lm_scoring_trigrams": OP5_TRIGRAMS_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_warc": OP8_SQL,
