@@ -6,6 +6,8 @@ is known.  Rounds are cut by checkpoint() where the session has a checkpoint fol
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,14 @@ def roots(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return back.join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti").select("seed", F.col("node").alias("root"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int = 8, stop: bool = True) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int | None = 8, stop: bool = True) -> DataFrame:
     """(path, hops) of the paths without a repeated node from starts(node) to ends(node), of at most
-    `most` hops.  stop: a path goes no further than the first end."""
+    `most` hops, or of any number.  stop: a path goes no further than the first end."""
     last = ends.select(F.col("node").alias("target"), F.lit(True).alias("ended"))
     step = edges.select("source", "target").join(last, "target", "left").select("source", "target", F.coalesce("ended", F.lit(False)).alias("ended"))
     front = cut(starts.select(F.array("node").alias("path"), F.col("node").alias("at")))
     out = None
-    for hops in range(1, most + 1):
+    for hops in count(1) if most is None else range(1, most + 1):
         front = front.join(step, F.col("at") == F.col("source")).where(~F.array_contains("path", F.col("target")))
         front = cut(front.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("at"), "ended"))
         done = front.where("ended").select("path", F.lit(hops).alias("hops"))

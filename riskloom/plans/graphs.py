@@ -56,7 +56,7 @@ _PATHS = """paths(path, cur, hops) AS (SELECT [source], source, 0 FROM ({starts}
 )
 def all_simple_paths(spark, sf_dir):
     ends = seeds(spark, "sink").withColumnRenamed("seed", "node")
-    out = G.simple_paths(edges(spark).distinct(), seeds(spark, "src").withColumnRenamed("seed", "node"), ends, 20, stop=False)
+    out = G.simple_paths(edges(spark).distinct(), seeds(spark, "src").withColumnRenamed("seed", "node"), ends, None, stop=False)
     return out.select(F.array_join("path", ">").alias("path"), "hops")
 
 

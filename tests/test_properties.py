@@ -60,3 +60,17 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in files.predictions(spark, str(tmp_path / "p.json")).collect()] == [(0.7, 1, 1, "medium")]
     (tmp_path / "g.json").write_text('{"nodes": [{"id": 0, "node_type": "METHOD"}, {"id": 1, "node_type": "CALL"}], "edges": []}')
     assert tuple(files.graph_summary(files.program_graphs(spark, str(tmp_path / "g.json"))).first()) == (2, 1, 1, 3)
+
+
+def test_simple_paths_of_any_length(spark):
+    from riskloom.plans import graphs
+
+    chain = [("src", "n0"), *[(f"n{i}", f"n{i + 1}") for i in range(22)], ("n22", "sink")]
+    edges = spark.createDataFrame(chain, "source string, target string")
+    before, graphs.edges = graphs.edges, lambda _: edges
+    try:
+        assert [(r.path.count(">"), r.hops) for r in graphs.all_simple_paths(spark, "").collect()] == [(24, 24)]
+    finally:
+        graphs.edges = before
+    starts, ends = spark.createDataFrame([("src",)], "node string"), spark.createDataFrame([("sink",)], "node string")
+    assert graph.simple_paths(edges, starts, ends, 23).count() == 0
