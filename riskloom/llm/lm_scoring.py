@@ -1,368 +1,145 @@
-"""Operator 5: language-model scores by stupid backoff over n-gram counts of any order.
+"""Operator 5: language-model scores by stupid backoff over n-gram count tables.
 
 A word's score is count(context, word) / count(context) of the longest context, of order - 1 words at most
 and within the document, if that n-gram occurs at least `cutoff` times in the corpus; else `alpha` * the
 score by the context without its first word; without context it is count(word) / words.  The score of a
 document is the sum of the natural logarithms.
 
-The counts of all orders are partitioned by the hash of their n-grams and joined to the documents' n-grams there:
+All of it is relational, over rows of n-grams by their 64-bit hash:
 
-1. Tasks count the n-grams of a slice of texts before the shuffle; the counts are added by bucket.
-2. N-grams that are at least one in `frequent` of all are at most `frequent` many of an order, whatever the
-   corpus; that table is broadcast, and what it answers never leaves its task.  So no bucket has a hot
-   n-gram, and the longest group of equal n-grams in the join is a small, known share of all.
-3. The other n-grams go to their bucket as their words.  One that is counted there asks for its context,
-   one that isn't for the n-gram without its first word, each in the bucket of its own in the next round;
-   so there are as many rounds as orders at most.  Sums come back by document.
+1. `exploded`: (gram, slice, times), the n-grams of all orders of the documents, summed within a slice of
+   about SLICE bytes of text before any shuffle.  A hot n-gram has one row for each slice that holds it.
+2. `counted`: (gram, total, slices), the count table, which is the sum of those rows by gram; it is partitioned
+   by the hash, and stands in the same partitions as the exploded rows (one exchange serves both).
+3. The join of both tells each slice the totals of its n-grams.  If the corpus is the documents themselves,
+   an n-gram that no other slice holds needs no answer: its total is what the slice counts itself.
+4. The answers go to their slices, where words are scored and summed by document.
 
-`op5_lm_scoring` gives the rows of its SQL, which takes pairs from two occurrences on;
-`op5_lm_scoring_trigrams` takes triples and all counts.
+Slices come from a hash of the row, so a task that is run again makes the same rows.
 
-Rows hold columns of a bucket packed into bytes: sorted numbers as differences, byte planes apart.
-
-Null, empty and wordless texts have score 0 and no words.  Repeated rows are scored each on its own,
-and count each in the corpus.
+Null, empty and wordless texts have score 0 and no words.  Repeated rows are scored each on its own, and
+count each in the corpus.  Of another corpus than the documents, a word that it lacks counts as one that
+occurs once, so that its score is finite; of an empty corpus every word does.
 """
 
 from __future__ import annotations
 
-import gc
-import pickle
-from collections.abc import Iterator
-from functools import reduce
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, mix, saved, table, word_spans
 
-ORDER, ALPHA, CUTOFF, FREQUENT = 2, 0.4, 2, 1_000_000
-#: Bytes of text that are counted or looked up at once, and of text for a bucket.
-SLICE, BUCKET = 6 << 20, 8 << 20
-#: Packed bytes of lookups that a bucket answers at once.
-RUN = 2 << 20
-#: Parts of a bucket's rows: 0 the counts, 2 * k contexts of k words, 2 * k + 1 n-grams of k words to score, DONE sums.
-DONE = 1 << 20
-
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns as bytes: planes of their bytes, compressed; unsigned 64-bit ones, which are sorted, as differences."""
-    out = []
-    for c in columns:
-        d = np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.uint64 else c
-        planes = np.ascontiguousarray(d.view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() if len(c) else b""
-        out.append((c.dtype.str, len(c), zstandard.ZstdCompressor(level=1).compress(planes)))
-    return pickle.dumps(out)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    out = []
-    for kind, n, planes in pickle.loads(data):
-        kind = np.dtype(kind)
-        plain = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8) if n else np.zeros(0, np.uint8)
-        c = np.ascontiguousarray(plain.reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind)
-        out.append(np.cumsum(c, dtype=np.uint64) if kind == np.uint64 else c)
-    return out
-
-
-def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and the places of their texts in part."""
-    data, offsets = joined(part.column("text"))
-    data = LOWER[data]
-    start, end = word_spans(data)
-    return Spans(data).hash(start, end), (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
-
-
-def _grams(words: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the n-grams whose first, second, ... words are given."""
-    out = words[0]
-    for w in words[1:]:
-        out = mix(out * np.uint64(3) + w)
+ORDER, ALPHA, CUTOFF = 3, 0.4, 1
+#: Bytes of text in a slice, about.
+SLICE = 12 << 20
+
+
+def words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts, and the place of each word's text."""
+    found, text, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for chunk in column.chunks:
+        for part in chunks(pa.RecordBatch.from_arrays([chunk], names=["text"]), "text"):
+            data, offsets = joined(part.column("text"))
+            data = LOWER[data]
+            start, end = word_spans(data)
+            found.append(Spans(data).hash(start, end))
+            text.append(np.searchsorted(offsets, start, "right") - 1 + n)
+            n += len(part)
+    return np.concatenate(found), np.concatenate(text)
+
+
+def grams(word: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 to order: the places at which an n-gram of one text ends, and its hash."""
+    at, value, out = np.arange(len(word)), mix(word + np.uint64(1)), []
+    for n in range(1, order + 1):
+        if n > 1:
+            keep = at >= n - 1
+            keep[keep] = text[at[keep]] == text[at[keep] - n + 1]
+            at, value = at[keep], value[keep]
+            value = mix(value * np.uint64(3) + word[at - n + 1] + np.uint64(n))  # one word more in front
+        out.append((at, value))
     return out
 
 
-def _depths(text: np.ndarray) -> np.ndarray:
-    """How many words of its text come up to each, itself among them."""
-    place = np.arange(len(text))
-    new = np.concatenate(([True], text[1:] != text[:-1])) if len(text) else np.zeros(0, bool)
-    return place - np.maximum.accumulate(np.where(new, place, 0)) + 1
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """(words, text, row numbers) of about SLICE bytes of texts."""
-    held, size, rows = [], 0, []
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            words, text = _words(part)
-            held.append((words, text + sum(map(len, rows))))
-            rows.append(np.asarray(part.column("rid")))
-            size += part.column("text").nbytes
-            if size >= SLICE:
-                yield *(np.concatenate(x) for x in zip(*held, strict=True)), np.concatenate(rows)
-                held, size, rows = [], 0, []
-    if rows:
-        yield *(np.concatenate(x) for x in zip(*held, strict=True)), np.concatenate(rows)
-
-
-def _cuts(sorted_: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among sorted hashes; buckets are ranges of the hash."""
-    width = ((1 << 64) - 1) // buckets + 1
-    return np.append(np.searchsorted(sorted_, np.array([min(i * width, (1 << 64) - 1) for i in range(buckets)], np.uint64)), len(sorted_))
-
-
-def _batch(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=list(names))
-
-
-_NAMES, _KINDS = ("bucket", "part", "data"), (pa.int32(), pa.int32(), pa.binary())
-_SCHEMA = "bucket int, part int, data binary"
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
-    """(bucket, its (part, data) in order) of sorted rows."""
-    rows = ((b, p, d) for batch in batches for b, p, d in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True))
-    for bucket, own in groupby(rows, key=lambda r: r[0]):
-        yield bucket, ((p, d) for _, p, d in own)
-
-
-def _runs(own: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, list[bytes]]]:
-    """(part, data of about RUN bytes together) of a bucket's rows, so that few rows leave a bucket."""
-    for part, rows in groupby(own, key=lambda r: r[0]):
-        held, size = [], 0
-        for _, d in rows:
-            held.append(d)
-            size += len(d)
-            if size >= RUN:
-                yield part, held
-                held, size = [], 0
-        if held:
-            yield part, held
-
-
-def _dealt(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
-
-
-def counts(docs: DataFrame, buckets: int, cutoff: int, order: int = ORDER) -> DataFrame:
-    """A row for each bucket (part 0): hashes and counts of its words, then of its n-grams of each order from cutoff on."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, text, _ in _slices(batches):
-            depth, found = _depths(text), []
-            for k in range(1, order + 1):
-                at = np.flatnonzero(depth >= k)
-                h, n = np.unique(_grams([words[at - j] for j in reversed(range(k))]), return_counts=True)
-                found.append((h, n.astype(np.uint32), _cuts(h, buckets)))
-            rows = []
-            for b in range(buckets):
-                if any(c[b] < c[b + 1] for _, _, c in found):
-                    rows.append((b, 0, pack(*(x[c[b] : c[b + 1]] for h, n, c in found for x in (h, n)))))
-            yield _batch(rows, _NAMES, _KINDS)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, own in _by_bucket(batches):
-            parts, out = [unpack(d) for _, d in own], []
-            for k in range(1, order + 1):
-                h, n = _sum([p[2 * k - 2] for p in parts], [p[2 * k - 1] for p in parts])
-                out += [h, n] if k == 1 else [h[n >= cutoff], n[n >= cutoff]]
-            yield _batch([(bucket, 0, pack(*out))], _NAMES, _KINDS)
-
-    return saved(_dealt(docs.mapInArrow(counted, _SCHEMA), buckets).mapInArrow(added, _SCHEMA))
-
+def exploded(texts: DataFrame, order: int) -> DataFrame:
+    """(gram, slice, times) of texts(slice, text)."""
 
-def _sum(hashes: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.concatenate(hashes), np.concatenate(numbers).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(n, first) if len(h) else n
+    def count(rows: pa.Table) -> pa.Table:
+        found = np.concatenate([value for _, value in grams(*words(rows.column("text")), order)])
+        gram, times = np.unique(found, return_counts=True)
+        own = pa.array(np.full(len(gram), rows.column("slice")[0].as_py(), np.int64))
+        return pa.table({"gram": pa.array(gram.view(np.int64)), "slice": own, "times": pa.array(times)})
 
+    return texts.groupBy("slice").applyInArrow(count, "gram long not null, slice long not null, times long not null")
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted among sorted keys; -1 where there is none."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1).astype(np.int32)
 
+def counted(rows: DataFrame) -> DataFrame:
+    """The count table (key, total, shared) of exploded rows: an n-gram, how often it occurs, and if in several slices."""
+    return rows.groupBy(F.col("gram").alias("key")).agg(F.sum("times").alias("total"), (F.min("slice") < F.max("slice")).alias("shared"))
 
-def frequent_table(tables: DataFrame, least: int, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
-    """N-grams of each order of at least `least` counts: at most words / least of each."""
 
-    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d in batch.column("data").to_pylist():
-                t = unpack(d)
-                yield _batch([(0, 0, pack(*(x[t[i + 1] >= least] for i in range(0, 2 * order, 2) for x in (t[i], t[i + 1]))))], _NAMES, _KINDS)
-
-    got = [unpack(r.data) for r in tables.mapInArrow(picked, _SCHEMA).collect()]
-    return [_sum([g[i] for g in got], [g[i + 1] for g in got]) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for i in range(0, 2 * order, 2)]
-
-
-def _by_text(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(text, value, n).astype(np.float64)  # of nothing, numpy counts in integers
-
-
-def _sums(rid: np.ndarray, value: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows of sums by text; a text's go to one bucket, and neighbours to the same."""
-    block = ((rid >> 33) + ((rid & ((1 << 33) - 1)) >> 10)) % buckets
-    order = np.lexsort((rid, block))
-    cut = np.searchsorted(block[order], np.arange(buckets + 1))
-    return [(k, DONE, pack(rid[own].astype(np.uint64), value[own])) for k in np.flatnonzero(np.diff(cut)).tolist() for own in [order[cut[k] : cut[k + 1]]]]
-
-
-class Lookups:
-    """What a task answers by the frequent n-grams, and the rows of what it asks the buckets."""
-
-    def __init__(self, known: list[tuple[np.ndarray, np.ndarray]], total: int, buckets: int):
-        self.keys = [h for h, _ in known]
-        self.logs = [np.append(np.log(np.maximum(n, 1)), 0) for _, n in known]  # at place -1: not known
-        self.all, self.buckets = np.log(max(total, 1)), buckets
-        self.width = np.uint64(((1 << 64) - 1) // buckets + 1)
-
-    def _sent(self, words: list[np.ndarray], text: np.ndarray, rows: np.ndarray, part: int) -> list[tuple]:
-        """Rows by bucket: places of the texts, which are in order, the texts' row numbers, and the words; a known word
-        travels as its place among the known, and after these come the hashes of those that aren't known, in order."""
-        bucket = (_grams(words) // self.width).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut, out = np.searchsorted(bucket[order], np.arange(self.buckets + 1)), []
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            own = order[cut[k] : cut[k + 1]]
-            used, place = np.unique(text[own], return_inverse=True)
-            at = [_find(self.keys[0], w[own]) for w in words]
-            open_ = [w[own][a < 0].view(np.int64) for w, a in zip(words, at, strict=True)]
-            out.append((k, part, pack(place.astype(np.uint64), rows[used].astype(np.uint64), *(a.astype(np.int32) for a in at), *open_)))
-        return out
-
-    def received(self, data: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """(words, texts, row numbers) of rows of _sent, together."""
-        words, text, rows, n = [[] for _ in range(order)], [], [], 0
-        for d in data:
-            place, own, *columns = unpack(d)
-            text.append(place.astype(np.int64) + n)
-            rows.append(own.astype(np.int64))
-            n += len(own)
-            for out, at, open_ in zip(words, columns[:order], columns[order:], strict=True):
-                word = np.empty(len(at), np.uint64)
-                word[at >= 0], word[at < 0] = self.keys[0][at[at >= 0]], open_.view(np.uint64)
-                out.append(word)
-        return [np.concatenate(w) for w in words], np.concatenate(text), np.concatenate(rows)
-
-    def contexts(self, words: list[np.ndarray], text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """The parts that counts of contexts have in the scores: sums by text so far, and rows that ask for the others."""
-        k = len(words)
-        at = _find(self.keys[k - 1], _grams(words))
-        left = at < 0
-        return _by_text(text, -self.logs[k - 1][at], len(rows)), self._sent([w[left] for w in words], text[left], rows, 2 * k)
-
-    def scores(self, words: list[np.ndarray], text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """The scores of the last words after the others, in the same form."""
-        k = len(words)
-        at = _find(self.keys[k - 1], _grams(words))
-        hit, left = at >= 0, at < 0
-        value = self.logs[k - 1][at[hit]]
-        # A context is at least as frequent as what follows it, so it is known too.
-        value = value - (self.logs[k - 2][_find(self.keys[k - 2], _grams([w[hit] for w in words[:-1]]))] if k > 1 else self.all)
-        return _by_text(text[hit], value, len(rows)), self._sent([w[left] for w in words], text[left], rows, 2 * k + 1)
-
-
-def _let_go(spark: SparkSession) -> None:
-    """What is saved is written: Spark drops the shuffle files behind it once its garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _sliced(docs: DataFrame, text: str, id_: str) -> DataFrame:
+    """(id, text, slice): rows with equal texts fall into different slices, if their ids differ."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    slices = max(docs.sparkSession.sparkContext.defaultParallelism, int(size // SLICE) + 1)
+    rows = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)))
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, frequent: int = FREQUENT, text: str = "text", id_: str = "doc_id", order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, cutoff: int = CUTOFF, order: int = ORDER, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id_, n_words, score and mean (the score by word; 0 without words) of every row of docs.
 
-    order: words of the longest n-grams.  cutoff: least count of an n-gram of two words or more; 1 for all.
+    corpus: the rows whose texts are counted; None for docs.  order: words of the longest n-grams.
+    cutoff: least count of an n-gram of two words or more to be used.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))  # packed rows grow when they are read
-    rows = docs.select(F.col(id_).alias("id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    plain = rows.select("rid", "text")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = int(max(16, size // BUCKET))
-    tables = counts(plain, buckets, cutoff, order)
-    _let_go(spark)
-
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(unpack(d)[1].sum()) for d in batch.column("data").to_pylist()], pa.int64())], names=["n"])
-
-    total = tables.mapInArrow(sized, "n long").agg(F.sum("n")).first()[0] or 0
-    known = spark.sparkContext.broadcast(frequent_table(tables, max(cutoff, -(-total // frequent)), order))
-    miss = np.log(alpha)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = Lookups(known.value, total, buckets)
-        for words, text, rid in _slices(batches):
-            depth, local, out = np.minimum(_depths(text), order), np.zeros(len(rid)), []
-            for k in range(1, order + 1):
-                at = np.flatnonzero(depth == k)
-                value, rows = lookups.scores([words[at - j] for j in reversed(range(k))], text[at], rid)
-                local += value
-                out += rows
-            yield _batch([*out, *_sums(rid, local, buckets)], _NAMES, _KINDS)
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = Lookups(known.value, total, buckets)
-        for bucket, own in _by_bucket(batches):
-            tables_ = []
-            for part, data in _runs(own):
-                if part == 0:
-                    t = unpack(data[0])
-                    tables_ = [(t[i], np.append(np.log(t[i + 1]), 0)) for i in range(0, 2 * order, 2)]
-                elif part == DONE:
-                    yield _batch([(bucket, DONE, d) for d in data], _NAMES, _KINDS)
-                else:
-                    k, of_context = part // 2, part % 2 == 0
-                    words, text, rid = lookups.received(data, k)
-                    keys, logs = tables_[k - 1]
-                    at, out = _find(keys, _grams(words)), []
-                    if of_context:
-                        local = _by_text(text, -logs[at], len(rid))
-                    elif k == 1:
-                        local = _by_text(text, logs[at] - lookups.all, len(rid))
-                    else:
-                        hit = at >= 0
-                        local = _by_text(text, np.where(hit, logs[at], miss), len(rid))
-                        for ask, w, who in ((lookups.contexts, words[:-1], hit), (lookups.scores, words[1:], ~hit)):
-                            value, rows = ask([x[who] for x in w], text[who], rid)
-                            local += value
-                            out += rows
-                    yield _batch([*out, *_sums(rid, local, buckets)], _NAMES, _KINDS)
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _by_bucket(batches):
-            parts = [unpack(d) for _, d in own]
-            rid, place = np.unique(np.concatenate([p[0] for p in parts]).astype(np.int64), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.bincount(place, np.concatenate([p[1] for p in parts]), len(rid)))], names=["rid", "score"])
-
-    # Each round leaves n-grams that are a word shorter.
-    asks, sums = plain.mapInArrow(asked, _SCHEMA), []
-    for _ in range(order):
-        told = saved(_dealt(tables.unionAll(asks), buckets).mapInArrow(answered, _SCHEMA))
-        sums.append(told.where(F.col("part") == DONE))
-        asks = told.where(F.col("part") != DONE)
-        _let_go(spark)
-        if asks.isEmpty():
-            break
-    sums = _dealt(reduce(DataFrame.unionAll, sums), buckets).mapInArrow(summed, "rid long, score double")
-
-    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                n = np.bincount(_words(part)[1], minlength=len(part)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rid"), pa.array(n)], names=["id", "rid", "n_words"])
-
-    lengths = rows.mapInArrow(worded, f"id {rows.schema['id'].dataType.simpleString()}, rid long, n_words long")
-    out = lengths.join(sums, "rid", "left").select(F.col("id").alias(id_), "n_words", F.when(F.col("n_words") > 0, F.col("score")).otherwise(0.0).alias("score"))
+    bounded_batches(docs.sparkSession)
+    texts = _sliced(docs, text, id_)
+    # Dealt by gram once, for the sums and for the join: both read all columns, so Spark sees one exchange.
+    asked = exploded(texts, order).repartition("gram")
+    own = corpus is None
+    table_ = counted(asked).where("shared") if own else counted(exploded(_sliced(corpus, text, id_), order))
+    told = asked.join(table_.hint("merge"), (F.col("gram") == F.col("key")) & (F.col("total") >= F.col("times") if own else F.lit(True))).select("slice", "gram", "total")
+    kind = docs.schema[id_].dataType.simpleString()
+
+    def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        word, place = words(rows.column("text"))
+        at, known = np.asarray(answers.column("gram")).view(np.uint64), np.asarray(answers.column("total"))
+        by = np.argsort(at)
+        at, known = at[by], known[by]
+        total = []  # of each order: counts of the n-grams that end at the words, 0 where there is none
+        for end, gram in grams(word, place, order):
+            each, which, times = np.unique(gram, return_inverse=True, return_counts=True)
+            n = times.astype(np.int64) if own else np.zeros(len(each), np.int64)
+            if len(at):
+                found = np.minimum(np.searchsorted(at, each), len(at) - 1)
+                n = np.where(at[found] == each, known[found], n)
+            full = np.zeros(len(word), np.int64)
+            full[end] = n[which]
+            total.append(full)
+        value, bare = np.log(np.maximum(total[0], 1)), np.ones(len(word))  # each bare word is still to be divided by all words
+        for n in range(1, order):
+            seen = total[n] >= max(cutoff, 1)
+            before = np.concatenate((np.ones(min(1, len(word)), np.int64), total[n - 1][:-1]))  # the context's count
+            depth = np.zeros(len(word), bool)
+            depth[n:] = place[n:] == place[: max(len(place) - n, 0)]
+            value = np.where(seen, np.log(np.maximum(total[n], 1)) - np.log(np.maximum(before, 1)), value + np.where(depth, np.log(alpha), 0.0))
+            bare = np.where(seen, 0.0, bare)
+        count = len(rows)
+        return pa.table({
+            "id": rows.column("id"), "n_words": pa.array(np.bincount(place, minlength=count).astype(np.int64)),
+            "value": pa.array(np.bincount(place, value, count).astype(np.float64)), "bare": pa.array(np.bincount(place, bare, count).astype(np.int64)),
+        })
+
+    both = texts.groupBy("slice").cogroup(told.groupBy("slice"))
+    sums = saved(both.applyInArrow(scored, f"id {kind}, n_words long, value double, bare long"))
+    if own:
+        all_ = sums.agg(F.sum("n_words").alias("words"))
+    else:
+        all_ = corpus.agg(F.sum(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("words"))
+    total = all_.first()["words"] or 1
+    out = sums.select(F.col("id").alias(id_), "n_words", (F.col("value") - F.col("bare") * F.lit(float(np.log(total)))).alias("score"))
     return out.withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).otherwise(0.0))
 
 
@@ -371,25 +148,8 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean", 9).alias("mean"))
 
 
-def op5_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(table(spark, sf_dir, "documents"), cutoff=1, order=3)
-    return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("mean", 9).alias("mean"))
-
-
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-p AS (SELECT rid, unnest(w) AS w2, unnest(range(len(w))) AS i FROM d),
-q AS (SELECT *, lag(w2) OVER (PARTITION BY rid ORDER BY i) AS w1 FROM p),
-u AS (SELECT w2 AS w, count(*) AS c FROM p GROUP BY w2),
-b AS (SELECT w1, w2, count(*) AS c FROM q WHERE w1 IS NOT NULL GROUP BY w1, w2 HAVING count(*) >= 2),
-n AS (SELECT count(*) AS total FROM p),
-s AS (SELECT rid, sum(ln(CASE WHEN q.w1 IS NULL THEN u2.c / total::DOUBLE WHEN b.c IS NOT NULL THEN b.c / u1.c::DOUBLE ELSE 0.4::DOUBLE * u2.c / total END)) AS score
-  FROM q JOIN u u2 ON u2.w = q.w2 LEFT JOIN u u1 ON u1.w = q.w1 LEFT JOIN b ON b.w1 = q.w1 AND b.w2 = q.w2 CROSS JOIN n GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(score, 0), 6) AS score, round(CASE WHEN len(w) > 0 THEN score / len(w) ELSE 0 END, 9) AS mean FROM d LEFT JOIN s USING (rid)
-"""
-
-OP5_TRIGRAMS_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT rid, unnest(w) AS w3, unnest(range(len(w))) AS i FROM d),
 q AS (SELECT *, lag(w3) OVER (PARTITION BY rid ORDER BY i) AS w2, lag(w3, 2) OVER (PARTITION BY rid ORDER BY i) AS w1 FROM p),
 u AS (SELECT w3 AS w, count(*) AS c FROM q GROUP BY w3),

@@ -173,52 +173,32 @@ def test_least_cost_flow_prefers_first_uses():
     assert mixing.least_cost_flow([10], [[0]], [100]) == [30]
 
 
-@pytest.mark.parametrize("frequent", [1_000_000, 40, 1])
-def test_lm_scoring(spark, odd, empty, sf_dir, frequent):
+@pytest.mark.parametrize(("order", "cutoff", "other"), [(3, 1, False), (3, 2, False), (4, 3, False), (2, 2, False), (1, 2, False), (3, 1, True), (4, 2, True)])
+def test_lm_scoring(spark, odd, empty, sf_dir, monkeypatch, order, cutoff, other):
+    """Recursive backoff from n-grams of any order, over the documents' own counts or another corpus's, in slices of any size."""
     import math
 
-    docs = odd.select("doc_id", "text").unionAll(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    monkeypatch.setattr(lm_scoring, "SLICE", 20_000)
+    docs = odd.select("doc_id", "text").unionAll(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000", "text").where("doc_id <= 1200"))
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 150") if other else docs
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    cut = [(i, word.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))) for i, t in texts(docs)]
-    one, two = collections.Counter(w for _, ws in cut for w in ws), collections.Counter(p for _, ws in cut for p in zip(ws, ws[1:], strict=False))
-    total = sum(one.values())
-
-    def brute(ws):
-        out = math.log(one[ws[0]] / total) if ws else 0.0
-        for a, b in zip(ws, ws[1:], strict=False):
-            out += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
-        return out
-
-    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
-    got = sorted(((r.doc_id, r.n_words, r.score) for r in lm_scoring.score(docs, frequent=frequent).collect()), key=key)
-    want = sorted(((i, len(ws), brute(ws)) for i, ws in cut), key=key)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))
-    assert lm_scoring.score(empty).count() == 0
-
-
-@pytest.mark.parametrize(("order", "cutoff", "frequent"), [(3, 1, 1), (3, 2, 1), (3, 2, 40), (4, 2, 1), (4, 3, 1_000_000), (1, 2, 1)])
-def test_lm_scoring_orders(spark, odd, empty, sf_dir, order, cutoff, frequent):
-    """Recursive backoff from n-grams of any order, with and without the counts below a cutoff."""
-    import math
-
-    docs = odd.select("doc_id", "text").unionAll(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000", "text").limit(200))
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    cut = [(i, word.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))) for i, t in texts(docs)]
-    count = collections.Counter(tuple(ws[i : i + k]) for _, ws in cut for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+    split = lambda df: [(i, word.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))) for i, t in texts(df)]
+    cut = split(docs)
+    count = collections.Counter(tuple(ws[i : i + k]) for _, ws in split(corpus) for k in range(1, order + 1) for i in range(len(ws) - k + 1))
     total = sum(n for g, n in count.items() if len(g) == 1)
 
     def one(gram):
         if len(gram) == 1:
-            return math.log(count[gram] / total)
+            return math.log(max(count[gram], 1) / total)
         return math.log(count[gram] / count[gram[:-1]]) if count[gram] >= cutoff else math.log(0.4) + one(gram[1:])
 
     key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
-    got = sorted(((r.doc_id, r.n_words, r.score) for r in lm_scoring.score(docs, cutoff=cutoff, frequent=frequent, order=order).collect()), key=key)
+    got = sorted(((r.doc_id, r.n_words, r.score) for r in lm_scoring.score(docs, corpus if other else None, cutoff=cutoff, order=order).collect()), key=key)
     want = sorted(((i, len(ws), sum(one(tuple(ws[max(0, j - order + 1) : j + 1])) for j in range(len(ws)))) for i, ws in cut), key=key)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2])) for g, w in zip(got, want, strict=True))
     assert lm_scoring.score(empty, order=order).count() == 0
+    assert lm_scoring.score(odd, empty, order=order).count() == odd.count()
 
 
 def test_exact_dedup(spark, odd, empty):
