@@ -30,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 16 MB, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches end at 4 MB, so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 

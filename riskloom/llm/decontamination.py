@@ -1,12 +1,13 @@
 """Operator 7: benchmark decontamination by suffix arrays over the training words.
 
-Each shard (a slice of a partition's texts) gets a suffix array of its words, limited to suffixes
-that begin as some test window does.  Every test window is found in it by binary search, giving the
-range of the shard's suffixes that start with it, so all places; neighbouring places on one diagonal
-make the longest verbatim match.  Words are compared by 64-bit hashes, ten in a row.
+Each shard (a slice of a partition's texts) gets the suffix array of its words: all suffixes, which end with
+their text, sorted by their first words, as many as a window has or more.  Words are 64-bit hashes.  Every
+suffix of a test item is sought in it by binary search, a word deeper each time, which leaves the range of the
+training suffixes that begin with a window of it, so all its places; from each the match is followed word by
+word, which gives the longest verbatim matches.
 
-The benchmark is taken in blocks of bounded size; each block is broadcast and passes over the texts
-once, adding to what earlier blocks hit.
+The benchmark is broadcast up to `limit` bytes; a larger one passes in parts of that size, each over the
+texts once and saved, adding to what earlier parts hit.
 
 Null texts and items have no words.  Items without words have no window.  Items that repeat an id
 count as one; a null item_id counts as the id 'null'.  Rows of documents are judged one by one, so
@@ -19,27 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, mix, table, word_spans
+from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, free_name, joined, saved, table, word_spans
 
 WINDOW = 10
-#: Bytes of benchmark text in a broadcast block.
-BLOCK_BYTES = 8 << 20
-#: Leading words by which suffixes are chosen, and bits of the table that asks first.
-LEAD, BITS = 3, 20
-
-
-def _lead(words: np.ndarray, m: int) -> np.ndarray:
-    """A hash of each m words in a row; n - m + 1 of them."""
-    n = len(words) - m + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = words[:n]
-    for i in range(1, m):
-        out = mix(out * np.uint64(3) + words[i : i + n])
-    return out
+#: Bytes of benchmark text that are broadcast at once.
+LIMIT = 32 << 20
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,68 +39,92 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return Spans(data).hash(start, end), np.searchsorted(start, offsets)
 
 
-def _keys(matrix: np.ndarray) -> np.ndarray:
-    """Rows of WINDOW hashes as strings that sort as the rows do."""
-    return np.ascontiguousarray(matrix.astype(">u8")).view(f"S{8 * WINDOW}").ravel()
-
-
-class TestSuffixes:
-    """The distinct windows of a block of the benchmark, and the items and places they come from."""
+class SuffixArray:
+    """The suffixes of a shard's texts, sorted by their first `depth` words or more."""
+
+    def __init__(self, words: np.ndarray, begin: np.ndarray, depth: int = WINDOW):
+        n = len(words)
+        self.end = np.repeat(begin[1:], np.diff(begin))  # where the text of each word ends
+        self.order = np.argsort(words)
+        ranked = words[self.order]
+        new = np.flatnonzero(np.diff(ranked, prepend=~ranked[:1]))
+        #: The distinct words, and where the suffixes that begin with each begin.
+        self.known, self.first = ranked[new], np.append(new, n)
+        self.word = np.empty(n, np.int64)  # words as places among the distinct ones
+        self.word[self.order] = np.repeat(np.arange(len(new)), np.diff(self.first))
+        name, size, open_ = self.first[self.word], 1, np.arange(n)
+        while size < depth and len(open_):
+            # Suffixes with one name share `size` words; what follows there has a name too.
+            shared = np.bincount(name, minlength=n)
+            open_ = open_[shared[name[open_]] > 1]
+            after = np.where(open_ + size < self.end[open_], name[np.minimum(open_ + size, n - 1)] + 1, 0)
+            key = name[open_] * (n + 1) + after
+            rank = np.argsort(key)
+            moved, key = open_[rank], key[rank]
+            base, at = name[moved], np.arange(len(key))
+            group, equal = np.flatnonzero(np.diff(base, prepend=-1)), np.flatnonzero(np.diff(key, prepend=-1))
+            self.order[base + at - np.repeat(group, np.diff(group, append=len(key)))] = moved
+            name = name.copy()
+            name[moved] = np.repeat((base + at - np.repeat(group, np.diff(group, append=len(key))))[equal], np.diff(equal, append=len(key)))
+            open_ = open_[after > 0]  # equal suffixes that end there stay together
+            size *= 2
+
+    def _bound(self, low: np.ndarray, high: np.ndarray, word: np.ndarray, deep: int, beyond: bool) -> np.ndarray:
+        """In each range of suffixes, the first whose word at `deep` isn't before `word`, or is beyond it."""
+        low, high = low.copy(), high.copy()
+        while len(at := np.flatnonzero(low < high)):
+            middle = (low[at] + high[at]) >> 1
+            suffix = self.order[middle]
+            place = suffix + deep
+            have = np.where(place < self.end[suffix], self.word[np.minimum(place, len(self.word) - 1)], -1)
+            left = have <= word[at] if beyond else have < word[at]
+            low[at[left]], high[at[~left]] = middle[left] + 1, middle[~left]
+        return low
+
+    def search(self, test: Test) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the shard, place in the test words, length of the match from there on) of all windows found."""
+        none = np.zeros(0, np.int64)
+        if not len(self.word) or not len(test.suffix):
+            return none, none, none
+        number = np.minimum(np.searchsorted(self.known, test.words), len(self.known) - 1)
+        number = np.where(self.known[number] == test.words, number, -1)
+        own = np.flatnonzero(number[test.suffix] >= 0)
+        low, high = (self.first[number[test.suffix[own]] + i] for i in (0, 1))
+        for deep in range(1, int(test.length.max())):
+            word = number[np.minimum(test.suffix[own] + deep, len(number) - 1)]
+            far = test.length[own] > deep
+            stay = ~far | (word >= 0)
+            own, low, high, word, far = own[stay], low[stay], high[stay], word[stay], far[stay]
+            now_low, now_high = self._bound(low[far], high[far], word[far], deep, False), self._bound(low[far], high[far], word[far], deep, True)
+            low[far], high[far] = now_low, now_high
+            stay = low < high
+            own, low, high = own[stay], low[stay], high[stay]
+        many = high - low
+        suffix, each = test.suffix[np.repeat(own, many)], np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        place = self.order[np.repeat(low, many) + each]
+        size = test.length[np.repeat(own, many)].copy()
+        on = np.arange(len(size))
+        while len(on):
+            a, b = place[on] + size[on], suffix[on] + size[on]
+            inside = (a < self.end[place[on]]) & (b < test.end[suffix[on]])
+            on, a, b = on[inside], a[inside], b[inside]
+            on = on[self.word[a] == number[b]]
+            size[on] += 1
+        return place, suffix, size
+
+
+class Test:
+    """The words of a benchmark's items, and their suffixes that begin with a window."""
 
     __test__ = False
 
     def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
-        words, begin = _hashed(pa.array(texts, pa.large_string()))
-        self.ids, instances = ids, []
-        for item, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
-            length = min(window, b - a)
-            instances += [(length, a + j, item, j) for j in range(b - a - length + 1) if length]
-        where = np.array(instances, np.int64).reshape(-1, 4)
-        index = where[:, 1, None] + np.arange(window)
-        inside = np.arange(window) < where[:, :1]
-        rows = np.where(inside, words[np.minimum(index, max(len(words) - 1, 0))] if len(words) else 0, 0)
-        self.low, which = np.unique(_keys(rows), return_inverse=True)
-        first = np.zeros(len(self.low), np.int64)
-        first[which] = np.arange(len(which))
-        self.length = where[first, 0] if len(which) else np.zeros(0, np.int64)
-        high = np.where(inside, rows, np.uint64(0xFFFFFFFFFFFFFFFF))[first] if len(which) else rows
-        self.high = _keys(high)
-        order = np.argsort(which, kind="stable")
-        self.item, self.at = where[order, 2], where[order, 3]
-        self.begin = np.searchsorted(which[order], np.arange(len(self.low) + 1))
-        self.lead = {}
-        for m in range(1, LEAD + 1):
-            own = rows[np.minimum(where[:, 0], LEAD) == m]
-            if len(own):
-                wanted = np.unique(np.array([_lead(r[:m], m)[0] for r in own], np.uint64))
-                quick = np.zeros(1 << BITS, bool)
-                quick[(wanted >> np.uint64(64 - BITS)).astype(np.int64)] = True
-                self.lead[m] = wanted, quick
-
-    def candidates(self, words: np.ndarray) -> np.ndarray:
-        """Places of words at which some window may begin."""
-        found = []
-        for m, (wanted, quick) in self.lead.items():
-            lead = _lead(words, m)
-            at = np.flatnonzero(quick[(lead >> np.uint64(64 - BITS)).astype(np.int64)])
-            found.append(at[np.isin(lead[at], wanted)])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-    def search(self, words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, window) of all occurrences in a shard; begin: where its texts' words begin."""
-        at = self.candidates(words)
-        if not len(at):
-            return at, at
-        end = begin[np.searchsorted(begin, at, "right")]
-        index = at[:, None] + np.arange(WINDOW)
-        keys = _keys(np.where(index < end[:, None], words[np.minimum(index, len(words) - 1)], 0))
-        suffixes = np.argsort(keys, kind="stable")
-        keys = keys[suffixes]
-        low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        count = np.maximum(high - low, 0)
-        window = np.repeat(np.arange(len(count)), count)
-        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        return at[suffixes[place]], window
+        self.words, begin = _hashed(pa.array(texts, pa.large_string()))
+        count = np.diff(begin)
+        self.ids, self.item, self.end = ids, np.repeat(np.arange(len(ids)), count), np.repeat(begin[1:], count)
+        full = np.minimum(window, count)[self.item]  # words of a window of the item
+        self.suffix = np.flatnonzero(self.end - np.arange(len(self.words)) >= full)
+        self.length = full[self.suffix]
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,82 +135,83 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
 
 
-def _judge(part: pa.RecordBatch, tests: TestSuffixes) -> pa.RecordBatch:
-    words, begin = _hashed(part.column("_text"))
-    place, window = tests.search(words, begin)
-    text = np.searchsorted(begin, place, "right") - 1
-    # A text may have no words: its begin is the next one's, and the last of equal begins holds.
-    order = np.argsort(text, kind="stable")
-    place, window, text = place[order], window[order], text[order]
-    hit = np.unique(text)
-    spans, items, longest = [None] * len(part), [None] * len(part), [0] * len(part)
-    for t, a, b in zip(hit.tolist(), np.searchsorted(text, hit, "left").tolist(), np.searchsorted(text, hit, "right").tolist(), strict=True):
-        p, w = place[a:b] - begin[t], window[a:b]
-        start, end = _merged(p, p + tests.length[w])
-        spans[t] = np.stack((start, end), 1).ravel().tolist()
-        n = tests.begin[w + 1] - tests.begin[w]
-        source = np.repeat(tests.begin[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, at, doc_at = tests.item[source], tests.at[source], np.repeat(p, n)
-        items[t] = [tests.ids[i] for i in np.unique(item).tolist()]
-        length = np.repeat(tests.length[w], n)
-        order = np.lexsort((doc_at, doc_at - at, item))
-        i, d, q, size = item[order], (doc_at - at)[order], doc_at[order], length[order]
-        new = np.concatenate(([True], (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (q[1:] != q[:-1] + 1)))
-        run = np.flatnonzero(new)
-        longest[t] = int((np.diff(np.append(run, len(q))) - 1 + size[run]).max())
-    kind = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.diff(begin)), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=["n_words", "_spans", "_items", "_longest"]
-    )
+_NAMES = ["n_words", "spans", "items", "longest"]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[DataFrame]:
+def _judge(column: pa.Array, test: Test) -> pa.StructArray:
+    words, begin = _hashed(column)
+    place, suffix, size = SuffixArray(words, begin).search(test)
+    text = np.searchsorted(begin, place, "right") - 1  # a text without words begins where the next does, which is the one
+    order = np.argsort(text, kind="stable")
+    place, suffix, size, text = place[order], suffix[order], size[order], text[order]
+    hit, first = np.unique(text, return_index=True)
+    spans, items, longest = [None] * len(column), [None] * len(column), [0] * len(column)
+    for t, a, b in zip(hit.tolist(), first.tolist(), np.append(first, len(text))[1:].tolist(), strict=True):
+        spans[t] = np.stack(_merged(place[a:b] - begin[t], place[a:b] - begin[t] + size[a:b]), 1).ravel().tolist()
+        items[t] = [test.ids[i] for i in np.unique(test.item[suffix[a:b]]).tolist()]
+        longest[t] = int(size[a:b].max())
+    return pa.StructArray.from_arrays([pa.array(np.diff(begin)), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=_NAMES)
+
+
+def _parts(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list]:
+    """The items, at most about limit bytes at once."""
     size = benchmark.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
     n = int(size // limit) + 1
-    return [benchmark] if n == 1 else [benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(2 * n)) == i) for i in range(2 * n)]
+    for i in range(2 * n if n > 1 else 1):
+        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(2 * n)) == i)
+        yield part.select(F.coalesce(F.col(item).cast("string"), F.lit("null")), text).collect()
+
+
+def _judged(tests: Broadcast):
+    """What is found in a column of texts: a struct of _NAMES."""
+
+    @F.arrow_udf("n_words long, spans array<int>, items array<string>, longest long")
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        test = Test(*tests.value)
+        for column in texts:
+            parts = [_judge(part.column(0), test) for part in chunks(pa.RecordBatch.from_arrays([column], names=["text"]), "text")]
+            yield pa.concat_arrays(parts or [_judge(column, test)])
+
+    return judged
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item: str = "item_id", item_text: str = "text", limit: int = BLOCK_BYTES, found: str = "_found"
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", id_: str = "doc_id", item: str = "item_id", item_text: str = "text", limit: int = LIMIT, found: str = "_found"
 ) -> DataFrame:
     """All columns of docs, and n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word
     places, start and end by turns), hit_items and longest_match (words) in a struct `found`.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>"), "_longest": F.lit(0).cast("long")})
-    schema = out.schema
-    for block in _blocks(benchmark, item, item_text, limit):
-        rows = block.select(F.coalesce(F.col(item).cast("string"), F.lit("null")), item_text).collect()  # at most about limit bytes
+    out, told = docs, None
+    for rows in _parts(benchmark, item, item_text, limit):
         tests = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
-        def judged(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
-            suffixes = TestSuffixes(*tests.value)
-            for batch in batches:
-                for part in chunks(batch, "_text"):
-                    now = _judge(part, suffixes)
-                    columns = [part.column("_row"), part.column("_text"), now.column("n_words")]
-                    for name, kind in (("_spans", pa.list_(pa.int32())), ("_items", pa.list_(pa.string()))):
-                        old, new = part.column(name), now.column(name)
-                        columns.append(new if old.null_count == len(old) else pa.array([(x or []) + (y or []) or None for x, y in zip(old.to_pylist(), new.to_pylist(), strict=True)], kind))
-                    columns.append(pa.array(np.maximum(np.asarray(part.column("_longest")), np.asarray(now.column("_longest")))))
-                    yield pa.RecordBatch.from_arrays(columns, names=["_row", "_text", "n_words", "_spans", "_items", "_longest"])
-
-        out = out.mapInArrow(judged, schema)
-    pairs = F.array_sort(F.transform(F.filter("_spans", lambda x, i: i % 2 == 0), lambda x, i: F.struct(x.alias("s"), F.element_at("_spans", 2 * i + 2).alias("e"))))
+        # Only the text goes to Python, and only what was found comes back; a filter by it doesn't search twice.
+        now = free_name(out, "now")
+        out = out.withColumn(now, _judged(tests).asNondeterministic()(F.col(text)))
+        if told is None:
+            told = now
+            continue
+        a, b = F.col(told), F.col(now)
+        both = F.struct(a.n_words.alias("n_words"), *[F.coalesce(F.concat(a[c], b[c]), a[c], b[c]).alias(c) for c in ("spans", "items")], F.greatest(a.longest, b.longest).alias("longest"))
+        out = saved(out.withColumn(told, both).drop(now))
+    got = F.col(told)
+    pairs = F.array_sort(F.transform(F.filter(got.spans, lambda x, i: i % 2 == 0), lambda x, i: F.struct(x.alias("s"), F.element_at(got.spans, 2 * i + 2).alias("e"))))
     covered = F.aggregate(
         pairs,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")),
         lambda acc, x: F.struct((acc.n + F.greatest(x.e - F.greatest(x.s, acc.e), F.lit(0))).alias("n"), F.greatest(acc.e, x.e).alias("e")),
     )
-    items = F.array_sort(F.array_distinct(F.coalesce("_items", F.array().cast("array<string>"))))
+    items = F.array_sort(F.array_distinct(F.coalesce(got["items"], F.array().cast("array<string>"))))
     n_hit = F.coalesce(covered.n, F.lit(0)).cast("long")
-    told = F.struct(
-        "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-        F.col("_spans").alias("hit_spans"), items.alias("hit_items"), F.col("_longest").alias("longest_match"),
-    )
-    return out.select("_row.*", told.alias(found))
+    return out.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.struct(
+            got.n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+            got.spans.alias("hit_spans"), items.alias("hit_items"), got.longest.alias("longest_match"),
+        ).alias(found),
+    )
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, mix, table, word_spans
+from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, free_name, joined, mix, table, word_spans
 
 #: Hashed features, as a power of 2; bytes of the word beginnings beside whole words.
 BITS = 18
@@ -237,21 +237,24 @@ def toxicity(
     bounded_batches(spark)
     fitted = fit(*sample(docs, labels, text, id_, per_class, longest))
     model = spark.sparkContext.broadcast((fitted.weights.astype(np.float32), fitted.bias, fitted.constant))  # 1 MB
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("score double, n_offending long, worst_at long, worst double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*model.value)
-        for batch in batches:
-            for part in chunks(batch, "_text"):
-                score, count, worst, chance = own.score(part.column("_text"))
-                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(score), pa.array(count.astype(np.int64)), pa.array(worst), pa.array(chance)], names=["_row", "score", "n", "worst_at", "worst"])
-
-    schema = rows.select("_row", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("worst_at"), F.lit(0.0).alias("worst")).schema
-    out = rows.mapInArrow(scored, schema)
+        names = ["score", "n_offending", "worst_at", "worst"]
+        for column in texts:
+            out = [own.score(part.column(0)) for part in chunks(pa.RecordBatch.from_arrays([column], names=["text"]), "text")]
+            score, count, worst, chance = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
+            yield pa.StructArray.from_arrays([pa.array(score), pa.array(count.astype(np.int64)), pa.array(worst.astype(np.int64)), pa.array(chance)], names=names)
+
+    # Only the text goes to Python, and only the scores come back; a filter by them doesn't score twice.
+    got = free_name(docs, "scored")
+    out = docs.withColumn(got, scored.asNondeterministic()(F.col(text)))
     told = F.struct(
-        held_out(F.col(f"_row.`{id_}`")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("n").alias("n_offending"), "worst_at", "worst"
-    )
-    return out.select("_row.*", told.alias(found))
+        held_out(F.col(id_)).alias("held_out"), F.col(f"{got}.score").alias("score"), (F.col(f"{got}.score") >= threshold).cast("int").alias("predicted"),
+        *[F.col(f"{got}.{c}").alias(c) for c in ("n_offending", "worst_at", "worst")],
+    )
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], told.alias(found))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
