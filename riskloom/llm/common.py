@@ -36,11 +36,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster names for checkpoints; a temporary one only where none is set and all is on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context._jsc.sc().isLocal():
+                raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-shared-"))
         folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
@@ -58,6 +60,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that new_folder named, in whichever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_path(url: str) -> str | None:
     """The path behind a file: URL or a bare path; None for another store."""
     if url.startswith("file:"):

@@ -7,14 +7,17 @@ document is the sum of the natural logarithms.
 
 All of it is relational, over rows of n-grams by their 64-bit hash:
 
-1. `exploded`: (gram, slice, times), the n-grams of all orders of the documents, summed within a slice of
+1. `exploded`: (gram, slice, place, times), the n-grams of all orders of the documents, summed within a slice of
    about SLICE bytes of text before any shuffle.  A hot n-gram has one row for each slice that holds it.
-2. `counted`: (gram, total, slices), the count table, which is the sum of those rows by gram; it is partitioned
-   by the hash, and stands in the same partitions as the exploded rows (one exchange serves both).
-3. The join of both tells each slice the totals of its n-grams.  If the corpus is the documents themselves,
-   an n-gram that no other slice holds needs no answer: its total is what the slice counts itself.
+2. `counted`: (key, total, shared), the count table, which is the sum of those rows by gram; it is partitioned by
+   the hash, and stands in the same partitions as the exploded rows (one exchange serves both).
+3. The join of both tells each slice the totals of its n-grams, by their places among the slice's own in order.
+   If the corpus is the documents themselves, an n-gram that no other slice holds needs no answer: its total is
+   what the slice counts itself.
 4. The answers go to their slices, where words are scored and summed by document.
 
+Steps 1 to 3 are done for one range of the hash after the other, and written to the shared folder, so that no more
+than a range of the n-grams is on disk at a time; Spark drops the shuffle files of a range once it is written.
 Slices come from a hash of the row, so a task that is run again makes the same rows.
 
 Null, empty and wordless texts have score 0 and no words.  Repeated rows are scored each on its own, and
@@ -24,16 +27,19 @@ occurs once, so that its score is finite; of an empty corpus every word does.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, joined, mix, saved, table, word_spans
+from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, dropped, joined, mix, new_folder, saved, table, word_spans
 
 ORDER, ALPHA, CUTOFF = 3, 0.4, 1
-#: Bytes of text in a slice, about.
-SLICE = 12 << 20
+#: Bytes of text in a slice, about, and ranges of the hash.
+SLICE, RANGES = 12 << 20, 4
 
 
 def words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,21 +69,26 @@ def grams(word: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarr
     return out
 
 
-def exploded(texts: DataFrame, order: int) -> DataFrame:
-    """(gram, slice, times) of texts(slice, text)."""
+def _range_of(gram: np.ndarray) -> np.ndarray:
+    return (gram >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)
+
+
+def exploded(texts: DataFrame, order: int, range_: int) -> DataFrame:
+    """(gram, slice, place, times) of texts(slice, text): the n-grams of a range of the hash."""
 
     def count(rows: pa.Table) -> pa.Table:
-        found = np.concatenate([value for _, value in grams(*words(rows.column("text")), order)])
+        found = np.concatenate([value[_range_of(value) == range_] for _, value in grams(*words(rows.column("text")), order)])
         gram, times = np.unique(found, return_counts=True)
-        own = pa.array(np.full(len(gram), rows.column("slice")[0].as_py(), np.int64))
-        return pa.table({"gram": pa.array(gram.view(np.int64)), "slice": own, "times": pa.array(times)})
+        own = np.full(len(gram), rows.column("slice")[0].as_py(), np.int64)
+        return pa.table({"gram": gram.view(np.int64), "slice": own, "place": np.arange(len(gram), dtype=np.int32), "times": times.astype(np.int64)})
 
-    return texts.groupBy("slice").applyInArrow(count, "gram long not null, slice long not null, times long not null")
+    return texts.groupBy("slice").applyInArrow(count, "gram long not null, slice long not null, place int not null, times long not null")
 
 
 def counted(rows: DataFrame) -> DataFrame:
     """The count table (key, total, shared) of exploded rows: an n-gram, how often it occurs, and if in several slices."""
-    return rows.groupBy(F.col("gram").alias("key")).agg(F.sum("times").alias("total"), (F.min("slice") < F.max("slice")).alias("shared"))
+    many = (F.min("slice") < F.max("slice")) | (F.min("place") < F.max("place"))
+    return rows.groupBy(F.col("gram").alias("key")).agg(F.sum("times").alias("total"), many.alias("shared"))
 
 
 def _sliced(docs: DataFrame, text: str, id_: str) -> DataFrame:
@@ -88,52 +99,68 @@ def _sliced(docs: DataFrame, text: str, id_: str) -> DataFrame:
     return rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)))
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go when the query ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, cutoff: int = CUTOFF, order: int = ORDER, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id_, n_words, score and mean (the score by word; 0 without words) of every row of docs.
 
     corpus: the rows whose texts are counted; None for docs.  order: words of the longest n-grams.
     cutoff: least count of an n-gram of two words or more to be used.
     """
-    bounded_batches(docs.sparkSession)
-    texts = _sliced(docs, text, id_)
-    # Dealt by gram once, for the sums and for the join: both read all columns, so Spark sees one exchange.
-    asked = exploded(texts, order).repartition("gram")
-    own = corpus is None
-    table_ = counted(asked).where("shared") if own else counted(exploded(_sliced(corpus, text, id_), order))
-    told = asked.join(table_.hint("merge"), (F.col("gram") == F.col("key")) & (F.col("total") >= F.col("times") if own else F.lit(True))).select("slice", "gram", "total")
-    kind = docs.schema[id_].dataType.simpleString()
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    texts, own = _sliced(docs, text, id_), corpus is None
+    counted_in = texts if own else _sliced(corpus, text, id_)
+    folder = new_folder(spark, "ngrams")
 
     def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
         word, place = words(rows.column("text"))
-        at, known = np.asarray(answers.column("gram")).view(np.uint64), np.asarray(answers.column("total"))
-        by = np.argsort(at)
-        at, known = at[by], known[by]
-        total = []  # of each order: counts of the n-grams that end at the words, 0 where there is none
-        for end, gram in grams(word, place, order):
-            each, which, times = np.unique(gram, return_inverse=True, return_counts=True)
-            n = times.astype(np.int64) if own else np.zeros(len(each), np.int64)
-            if len(at):
-                found = np.minimum(np.searchsorted(at, each), len(at) - 1)
-                n = np.where(at[found] == each, known[found], n)
+        ends, values = zip(*grams(word, place, order), strict=True)
+        gram, which, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        n = times.astype(np.int64) if own else np.zeros(len(gram), np.int64)
+        first = np.searchsorted(_range_of(gram), np.arange(RANGES))
+        n[first[np.asarray(answers.column("range"))] + np.asarray(answers.column("place"))] = np.asarray(answers.column("total"))
+        total, at = [], 0  # of each order: counts of the n-grams that end at the words, 0 where there is none
+        for end in ends:
             full = np.zeros(len(word), np.int64)
-            full[end] = n[which]
+            full[end] = n[which[at : at + len(end)]]
             total.append(full)
+            at += len(end)
         value, bare = np.log(np.maximum(total[0], 1)), np.ones(len(word))  # each bare word is still to be divided by all words
-        for n in range(1, order):
-            seen = total[n] >= max(cutoff, 1)
-            before = np.concatenate((np.ones(min(1, len(word)), np.int64), total[n - 1][:-1]))  # the context's count
+        for k in range(1, order):
+            seen = total[k] >= max(cutoff, 1)
+            before = np.concatenate((np.ones(min(1, len(word)), np.int64), total[k - 1][:-1]))  # the context's count
             depth = np.zeros(len(word), bool)
-            depth[n:] = place[n:] == place[: max(len(place) - n, 0)]
-            value = np.where(seen, np.log(np.maximum(total[n], 1)) - np.log(np.maximum(before, 1)), value + np.where(depth, np.log(alpha), 0.0))
+            depth[k:] = place[k:] == place[: max(len(place) - k, 0)]
+            value = np.where(seen, np.log(np.maximum(total[k], 1)) - np.log(np.maximum(before, 1)), value + np.where(depth, np.log(alpha), 0.0))
             bare = np.where(seen, 0.0, bare)
         count = len(rows)
         return pa.table({
-            "id": rows.column("id"), "n_words": pa.array(np.bincount(place, minlength=count).astype(np.int64)),
-            "value": pa.array(np.bincount(place, value, count).astype(np.float64)), "bare": pa.array(np.bincount(place, bare, count).astype(np.int64)),
+            "id": rows.column("id"), "n_words": np.bincount(place, minlength=count).astype(np.int64),
+            "value": np.bincount(place, value, count).astype(np.float64), "bare": np.bincount(place, bare, count).astype(np.int64),
         })
 
-    both = texts.groupBy("slice").cogroup(told.groupBy("slice"))
-    sums = saved(both.applyInArrow(scored, f"id {kind}, n_words long, value double, bare long"))
+    with _shuffles_dropped(spark):
+        for r in range(RANGES):
+            # Dealt by gram once, for the sums and for the join: both read all columns, so Spark sees one exchange.
+            asked = exploded(texts, order, r).repartition("gram")
+            table_ = counted(asked).where("shared") if own else counted(exploded(counted_in, order, r))
+            told = asked.join(table_.hint("merge"), (F.col("gram") == F.col("key")) & (F.col("total") >= F.col("times") if own else F.lit(True)))
+            told.select(F.col("slice").cast("int").alias("slice"), F.lit(r).alias("range"), "place", "total").write.mode("append").parquet(folder)
+        both = texts.groupBy("slice").cogroup(spark.read.parquet(folder).groupBy(F.col("slice").cast("long")))
+        kind = docs.schema[id_].dataType.simpleString()
+        sums = saved(both.applyInArrow(scored, f"id {kind}, n_words long, value double, bare long"))
+    dropped(spark, folder)
     if own:
         all_ = sums.agg(F.sum("n_words").alias("words"))
     else:

@@ -15,7 +15,7 @@ import xxhash
 import zstandard
 from oracle import check
 
-from riskloom.llm import lm_scoring, mixing, rindex, simhash, substring_dedup, toxicity, warc
+from riskloom.llm import decontamination, lm_scoring, mixing, rindex, simhash, substring_dedup, toxicity, warc
 from riskloom.llm.components import components
 from riskloom.llm.decontamination import contamination
 from riskloom.llm.exact_dedup import exact_groups
@@ -240,6 +240,38 @@ def test_decontamination(spark, odd, empty, sf_dir):
     assert contamination(odd, items.limit(0)).where("_found.contaminated").count() == 0
 
 
+def test_suffix_array():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(0, 60))
+        w, b = rng.integers(0, 3, n).astype(np.uint64), np.sort(np.concatenate(([0], rng.integers(0, n + 1, 3), [n])))
+        array = decontamination.SuffixArray(w, b)
+        found = [tuple(w[i : min(array.end[i], i + 10)].tolist()) for i in array.order]
+        assert sorted(array.order.tolist()) == list(range(n)) and found == sorted(found)
+
+
+def test_longest_matches(spark):
+    """Matches of a window and more, in repeating words, at texts' ends and of items shorter than a window."""
+    rng = np.random.default_rng(5)
+    texts_ = [" ".join(rng.choice(["a", "b"], rng.integers(0, 40))) for _ in range(60)]
+    items = [("i" + str(k), " ".join(rng.choice(["a", "b"], n))) for k, n in enumerate((3, 9, 10, 11, 14, 20))]
+    got = contamination(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    for r in got.select("doc_id", "_found.longest_match", "_found.n_hit").collect():
+        w, best, hit = texts_[r.doc_id].split(), 0, set()
+        for _, t in items:
+            own = t.split()
+            least = min(10, len(own))
+            for i in range(len(w)):
+                for j in range(len(own)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(own) and w[i + n] == own[j + n]:
+                        n += 1
+                    if n >= least:
+                        best = max(best, n)
+                        hit.update(range(i, i + n))
+        assert (r.longest_match, r.n_hit) == (best, len(hit))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 600
     rows = [(1, "http://a", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", "x" * 2000), (7, "u", "x" * 2000), (7, "u", "x" * 2000)]
