@@ -42,12 +42,14 @@ class Matches(Rule):
     patterns: tuple[str, ...]
     subject: str
     ignore_case: bool
+    needs: tuple[str, ...] = ()
 
     def _patterns(self) -> list[str]:
         return [("(?i)" if self.ignore_case else "") + p for p in self.patterns]
 
     def column(self, subjects: dict[str, Column]) -> Column:
-        return reduce(Column.__or__, (subjects[self.subject].rlike(p) for p in self._patterns()))
+        found = reduce(Column.__or__, (subjects[self.subject].rlike(p) for p in self._patterns()))
+        return Has(self.needs, self.subject).column(subjects) & found if self.needs else found
 
     def sql(self, subjects: dict[str, str]) -> str:
         return "(" + " OR ".join(f"regexp_matches({subjects[self.subject]}, {quoted(p)})" for p in self._patterns()) + ")"
@@ -84,8 +86,9 @@ def has(*words: str, subject: str = "code") -> Rule:
     return Has(words, subject)
 
 
-def matches(*patterns: str, subject: str = "code", ignore_case: bool = False) -> Rule:
-    return Matches(patterns, subject, ignore_case)
+def matches(*patterns: str, subject: str = "code", ignore_case: bool = False, needs: tuple[str, ...] = ()) -> Rule:
+    """needs: literals of which every match holds one; a text without any is told by them, before any regular expression."""
+    return Matches(patterns, subject, ignore_case, needs)
 
 
 def without_class_lines(code: Column) -> Column:

@@ -68,10 +68,10 @@ def fused(heuristic: Column, vuln: Column, safe: Column, ood: Column) -> tuple[C
     boosted = F.greatest(h, F.least(F.lit(0.95), h + BOOST * (F.when(v > OVER, 0.80).otherwise(v) - h)))
     calibrated = F.greatest(h, F.when(v > OVER, 0.70 * h + 0.30 * 0.85).otherwise(0.60 * h + 0.40 * v))
     cases = [
-        (~finite(heuristic), F.lit(0.5), "error_nan_heuristic"), (~(finite(vuln) & finite(safe)), h, "heuristic_only_nan_model"), (ood, F.greatest(h, F.lit(0.60)), "heuristic_only_ood"),
-        ((h >= STRONG) & agrees, F.least(F.lit(1.0), h + BOOST * (v - h)), "model_boost"), (h >= STRONG, h, "heuristic_only"), ((h >= MODERATE) & raised, boosted, "model_boost"),
-        (h >= MODERATE, h, "heuristic_only"), ((h >= FAINT) & (v >= LEAST_BOOST), calibrated, "model_calibrated"), (h >= FAINT, h, "heuristic_only"),
-        (v >= LEAST_BOOST, F.greatest(F.lit(0.50), 0.70 * v), "model_only"),
+        (~finite(heuristic), F.lit(0.5), "error_nan_heuristic"), (~(finite(vuln) & finite(safe)), h, "heuristic_only_nan_gnn"), (ood, F.greatest(h, F.lit(0.60)), "heuristic_only_ood"),
+        ((h >= STRONG) & agrees, F.least(F.lit(1.0), h + BOOST * (v - h)), "gnn_boost"), (h >= STRONG, h, "heuristic_only"), ((h >= MODERATE) & raised, boosted, "gnn_boost"),
+        (h >= MODERATE, h, "heuristic_only"), ((h >= FAINT) & (v >= LEAST_BOOST), calibrated, "gnn_calibrated"), (h >= FAINT, h, "heuristic_only"),
+        (v >= LEAST_BOOST, F.greatest(F.lit(0.50), 0.70 * v), "gnn_only"),
     ]
     combined, how = None, None
     for when, value, name in cases:

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from riskloom.plans import calibration, detection, findings, graphs, linewise, relational, reports, scoring, vectors  # noqa: F401
+    from riskloom.plans import calibration, detection, findings, graphs, linewise, records, reports, scanners, scores, scoring, taint, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,10 +60,10 @@ _V0, _H = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, v_in))", "greatest(0.0::DOUB
     "e15_asymmetric_fusion",
     f"""WITH i AS (SELECT l_discount * 10 AS h_in, CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE (l_extendedprice * 100)::BIGINT % 1100 / 1000.0::DOUBLE END AS v_in, CASE WHEN l_quantity > 25 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS s_in, l_tax > 0.07 AS ood FROM lineitem),
     n AS (SELECT *, {_H} AS h, {_V0} AS v0, CASE WHEN s_in <= 0 THEN 1 - {_V0} ELSE s_in END AS s0 FROM i), p AS (SELECT *, CASE WHEN s0 + v0 > 0 THEN v0 / (s0 + v0) ELSE v0 END AS v FROM n),
-    c AS (SELECT *, CASE WHEN isnan(v_in) THEN 'heuristic_only_nan_model' WHEN ood THEN 'heuristic_only_ood' WHEN h >= 0.7 THEN CASE WHEN abs(v - h) <= 0.15::DOUBLE + 1e-12::DOUBLE AND v >= h THEN 'model_boost' ELSE 'heuristic_only' END
-      WHEN h >= 0.4 THEN CASE WHEN v > h AND v >= 0.55 THEN 'model_boost' ELSE 'heuristic_only' END WHEN h >= 0.2 THEN CASE WHEN v >= 0.85 THEN 'model_calibrated' ELSE 'heuristic_only' END WHEN v >= 0.85 THEN 'model_only' ELSE 'heuristic_only' END AS how FROM p),
-    r AS (SELECT *, CASE how WHEN 'heuristic_only_ood' THEN greatest(h, 0.6::DOUBLE) WHEN 'model_only' THEN greatest(0.5::DOUBLE, 0.7::DOUBLE * v) WHEN 'model_calibrated' THEN greatest(h, CASE WHEN v > 0.95 THEN 0.7::DOUBLE * h + 0.3::DOUBLE * 0.85::DOUBLE ELSE 0.6::DOUBLE * h + 0.4::DOUBLE * v END)
-      WHEN 'model_boost' THEN CASE WHEN h >= 0.7 THEN least(1.0::DOUBLE, h + 0.3::DOUBLE * (v - h)) ELSE greatest(h, least(0.95::DOUBLE, h + 0.3::DOUBLE * (CASE WHEN v > 0.95 THEN 0.8::DOUBLE ELSE v END - h))) END ELSE h END AS combined FROM c)
+    c AS (SELECT *, CASE WHEN isnan(v_in) THEN 'heuristic_only_nan_gnn' WHEN ood THEN 'heuristic_only_ood' WHEN h >= 0.7 THEN CASE WHEN abs(v - h) <= 0.15::DOUBLE + 1e-12::DOUBLE AND v >= h THEN 'gnn_boost' ELSE 'heuristic_only' END
+      WHEN h >= 0.4 THEN CASE WHEN v > h AND v >= 0.55 THEN 'gnn_boost' ELSE 'heuristic_only' END WHEN h >= 0.2 THEN CASE WHEN v >= 0.85 THEN 'gnn_calibrated' ELSE 'heuristic_only' END WHEN v >= 0.85 THEN 'gnn_only' ELSE 'heuristic_only' END AS how FROM p),
+    r AS (SELECT *, CASE how WHEN 'heuristic_only_ood' THEN greatest(h, 0.6::DOUBLE) WHEN 'gnn_only' THEN greatest(0.5::DOUBLE, 0.7::DOUBLE * v) WHEN 'gnn_calibrated' THEN greatest(h, CASE WHEN v > 0.95 THEN 0.7::DOUBLE * h + 0.3::DOUBLE * 0.85::DOUBLE ELSE 0.6::DOUBLE * h + 0.4::DOUBLE * v END)
+      WHEN 'gnn_boost' THEN CASE WHEN h >= 0.7 THEN least(1.0::DOUBLE, h + 0.3::DOUBLE * (v - h)) ELSE greatest(h, least(0.95::DOUBLE, h + 0.3::DOUBLE * (CASE WHEN v > 0.95 THEN 0.8::DOUBLE ELSE v END - h))) END ELSE h END AS combined FROM c)
     SELECT how, count(*) AS n, round(avg(combined), 6) AS mean, round(min(combined - h), 6) AS least_gain, round(max(combined), 6) AS most FROM r GROUP BY how""",
 )
 def asymmetric_fusion(spark, sf_dir):

@@ -25,7 +25,7 @@ def test_fusion_never_lowers_and_stays_in_range(spark):
         if math.isfinite(r.h):
             assert r.c >= min(1.0, max(0.0, r.h)) - 1e-12
         names.add(r.how)
-    assert {"model_boost", "heuristic_only", "error_nan_heuristic", "heuristic_only_ood", "model_only", "model_calibrated", "heuristic_only_nan_model"} == names
+    assert {"gnn_boost", "heuristic_only", "error_nan_heuristic", "heuristic_only_ood", "gnn_only", "gnn_calibrated", "heuristic_only_nan_gnn"} == names
 
 
 def test_perfect_and_wrong_predictions(spark):
