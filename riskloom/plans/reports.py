@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.plans.registry import register
-from riskloom.sources import sinks
+from riskloom.sources import shared, sinks
 from riskloom.sources.files import last_of_key
 from riskloom.streaming import changes
 
@@ -82,15 +82,39 @@ def changed_content(spark, sf_dir):
     return changes.changed_batch(change_events(spark.read.parquet(f"{sf_dir}/events.parquet"))).select("event_id", "path", "change_type")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str, build, mode: str) -> DataFrame:
-    """A bounded stream of the events file run to its end; the rows of its memory sink."""
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events file as a bounded stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    import uuid
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, build, mode: str) -> DataFrame:
+    """What a bounded stream of the events leaves in the shared folder."""
+    return changes.run_once(build(change_events(_events_stream(spark, sf_dir))), shared.folder(spark, name), mode)
+
+
+@register("t05_recent_buffer", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def recent_buffer(spark, sf_dir):
+    last = [F.desc("ts"), F.desc("event_id")]
+    return changes.run_once(_events_stream(spark, sf_dir), shared.folder(spark, "recent"), top=lambda rows: changes.recent(rows, last)).select("event_id", "user_id")
+
+
+@register("t03_analysis_stream", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'empty file' END AS error, CASE WHEN NOT (text IS NULL OR trim(text, ' ') = '') THEN (contains(text, 'DES') OR contains(text, 'MD5'))::INT END AS result FROM documents")
+def analysis_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
+    judged = changes.analyzed(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("code")), lambda c: (c.contains("DES") | c.contains("MD5")).cast("int"))
+    return changes.run_once(judged, shared.folder(spark, "analyzed")).select(F.col("path").cast("long").alias("doc_id"), "error", "result")
+
 
-    table = f"{name}_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    build(change_events(stream)).writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(table)
+@register("t01_file_events", "SELECT name, hash FROM (VALUES ('a', md5('alpha' || chr(10))), ('b', md5('beta' || chr(10))), ('c', md5('gamma' || chr(10)))) v(name, hash)")
+def file_event_stream(spark, sf_dir):
+    """The files that a folder holds, as a stream; the folder is written by this query, below the shared one."""
+    folder = shared.folder(spark, "tree")
+    for name, text in (("a", "alpha"), ("b", "beta"), ("c", "gamma")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/files/{name}")
+    rows = changes.run_once(changes.file_events(spark, f"{folder}/files"), f"{folder}/out")
+    return rows.where(F.length("code") > 0).select(F.element_at(F.split("path", "/"), -2).alias("name"), "hash")
 
 
 @register("t02_change_stream", _CHANGED)

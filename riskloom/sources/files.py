@@ -12,9 +12,9 @@ GRAPH = f"nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>, edge
 
 
 def source_tree(spark: SparkSession, path: str, suffix: str = ".java", recursive: bool = True) -> DataFrame:
-    """(path, code) of the files below path, in the order of their paths."""
+    """(path, code) of the files below path; whoever shows them sorts the paths."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return read.select("path", F.decode("content", "UTF-8").alias("code")).orderBy("path")
+    return read.select("path", F.decode("content", "UTF-8").alias("code"))
 
 
 def expected_results(spark: SparkSession, path: str) -> DataFrame:
@@ -61,9 +61,25 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("label") >= 0)
 
 
-def program_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """Program graphs of JSON files: nodes and edges with explicit schemas."""
-    return spark.read.schema(GRAPH).json(path, multiLine=True)
+def program_graphs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Program graphs of JSON files, a graph in each file or in each of its lines: nodes and edges with explicit schemas."""
+    return spark.read.schema(GRAPH).json(path, multiLine=not lines)
+
+
+def sarif_issues(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rule, level, text, line) of SARIF logs, a log in each line."""
+    place = "physicalLocation struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>"
+    result = f"struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<{place.replace(' ', ': ', 1)}>>>"
+    logs = spark.read.schema(f"runs array<struct<results: array<{result}>>>").json(path)
+    r = logs.select(F.explode("runs").alias("run")).select(F.explode("run.results").alias("r"))
+    first = F.col("r.locations")[0]["physicalLocation"]
+    return r.select(first["artifactLocation"]["uri"].alias("file"), F.col("r.ruleId").alias("rule"), F.coalesce("r.level", F.lit("warning")).alias("level"), F.col("r.message.text").alias("text"), first["region"]["startLine"].alias("line"))
+
+
+def reader_of(path) -> object:
+    """What reads a path: by its ending the records of a CSV or a source file; a folder without an ending as a tree."""
+    name = F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1)
+    return F.when(F.lower(name).endswith(".java"), "source").when(F.lower(name).endswith(".csv"), "records").when(path.endswith("/") | ~name.contains("."), "tree").otherwise("unsupported")
 
 
 def graph_summary(graphs: DataFrame) -> DataFrame:

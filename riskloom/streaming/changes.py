@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,15 +20,13 @@ def changed_batch(events: DataFrame) -> DataFrame:
 
 
 def _differs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
+    """Of a path's new events those that tell something new; only the last hash is kept as state."""
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    kept = []
-    for r in rows.itertuples(index=False):
-        if r.change_type == "created" or last is None or r.hash != last:
-            kept.append(r)
-        last = r.hash
-    state.update((last,))
-    yield pd.DataFrame(kept, columns=rows.columns) if kept else rows.iloc[:0]
+    last = rows["hash"].shift(1)
+    if state.exists:
+        last.iloc[0] = state.get[0]
+    state.update((rows["hash"].iloc[-1],))
+    yield rows[(rows["change_type"] == "created") | last.isna() | (rows["hash"] != last)]
 
 
 def changed_stream(events: DataFrame) -> DataFrame:
@@ -52,3 +50,41 @@ def to_sinks(results: DataFrame, name: str, *hooks: Callable[[DataFrame, int], N
         batch.unpersist()
 
     return results.writeStream.queryName(name).outputMode(mode).foreachBatch(each).trigger(availableNow=True)
+
+
+def file_events(spark: SparkSession, folder: str, suffix: str = "*.txt") -> DataFrame:
+    """A stream of the files that appear below a folder: path, ts (of its last change) and hash, a few files a batch."""
+    read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = read.option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 100).load(folder)
+    return files.select("path", F.col("modificationTime").alias("ts"), F.md5("content").alias("hash"), F.decode("content", "UTF-8").alias("code"))
+
+
+def analyzed(files: DataFrame, analyze: Callable[[Column], Column]) -> DataFrame:
+    """(path, result, error): what analyze makes of each file's code; a file that can't be judged is a row with an error."""
+    good = F.col("code").isNotNull() & (F.trim("code") != "")
+    return files.select("path", F.when(good, analyze(F.col("code"))).alias("result"), F.when(~good, F.lit("empty file")).otherwise(F.lit(None).cast("string")).alias("error"))
+
+
+def recent(rows: DataFrame, order: list, most: int = 100) -> DataFrame:
+    """The last rows, as a buffer shows them (a top-k)."""
+    return rows.orderBy(*order).limit(most)
+
+
+def run_once(stream: DataFrame, folder: str, mode: str = "append", top: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows of a bounded stream run to its end, in a table in the shared folder: all batches, or, of a complete or reduced
+    result, what the last batch left."""
+    spark, out, last = stream.sparkSession, f"{folder}/rows", [-1]
+    reduced = top is not None or mode == "complete"
+
+    def write(batch: DataFrame, number: int) -> None:
+        if top is not None:
+            batch = top(batch.unionByName(spark.read.parquet(f"{out}-{last[0]}")) if last[0] >= 0 else batch)
+        # A batch that is run again writes the same place again.
+        batch.write.mode("overwrite").parquet(f"{out}-{number}" if reduced else f"{out}/batch={number}")
+        last[0] = number
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(f"{out}-{last[0]}") if reduced else spark.read.parquet(out).drop("batch")
