@@ -11,9 +11,6 @@ sorting a source: sizes are summed by hash bucket, the sums of the buckets find
 the rest runs out, and only that bucket is sorted.  Of the documents after the one that didn't fit,
 those that still fit are cut again, until none is left.  Documents are taken whole.
 
-`op4_mixing` gives the rows of its SQL, which stops at the first document that doesn't fit and then
-takes, FILL times, the largest document that does: there a source can stay far below its target.
-
 The driver sees sums by pattern: as many rows as there are patterns (checked against `patterns`).
 
 Null text has size 0.  A null source is a source of its own, the last.  Documents of size 0 have
@@ -33,8 +30,8 @@ from riskloom.llm.common import saved, table
 
 #: Fixed: weights of the sources in their order, repeating; uses of a document at most.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Hash buckets of a pattern, rounds of filling in the SQL's rule, and patterns at most.
-BUCKETS, FILL, PATTERNS = 4096, 2, 100_000
+#: Hash buckets of a pattern (as many hex digits), and patterns at most.
+DIGITS, PATTERNS = 4, 100_000
 SEED = "mix"
 
 
@@ -125,19 +122,17 @@ def _hash(seed: str, *columns: str) -> Column:
     return F.md5(F.concat(F.lit(seed), *[F.concat(F.lit("|"), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns]).cast("binary"))
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, fill: int | None = None, text: str = "text", id_: str = "doc_id", source: str = "source") -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, text: str = "text", id_: str = "doc_id", source: str = "source") -> DataFrame:
     """id_, size, source_size, target and taken of every row of docs.
 
     source: a column of one source or of an array of sources; of several, source_size and target are
     the sums over the document's sources.
-    fill: None to skip what doesn't fit and go on; a number to stop there and fill so many times by
-    the largest document that fits, as OP4_SQL does.
     """
     spark = docs.sparkSession
     several = isinstance(docs.schema[source].dataType, T.ArrayType)
     pattern = F.array_sort(F.array_distinct(F.col(source))) if several else F.array(F.col(source))
     rows = docs.select(F.col(id_).alias("id"), size_of(F.col(text)).alias("size"), pattern.alias("pattern"))
-    rows = saved(rows.withColumn("order", _hash(seed, "id")).withColumn("bucket", F.conv(F.substring("order", 1, 3), 16, 10).cast("int")))
+    rows = saved(rows.withColumn("order", _hash(seed, "id")).withColumn("bucket", F.conv(F.substring("order", 1, DIGITS), 16, 10).cast("int")))
     got = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
     if len(got) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")
@@ -156,13 +151,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
         T.StructType([T.StructField("p", rows.schema["pattern"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("times", T.LongType()), T.StructField("rest", T.LongType())]),
     )
     plan = F.broadcast(plan)  # a row for each pattern, at most PATTERNS
-    if fill is None:
-        chosen = _first_fit(rows, plan)
-    else:
-        chosen = saved(_prefix(rows, plan.select("p", "rest")))
-        for _ in range(fill):
-            chosen = _filled(chosen, plan)
-    out = chosen.join(plan, F.col("pattern").eqNullSafe(F.col("p")))
+    out = _first_fit(rows, plan).join(plan, F.col("pattern").eqNullSafe(F.col("p")))
     taken = F.when(F.col("size") > 0, (F.col("times") + F.col("more")) * F.col("size")).otherwise(F.lit(0))
     return out.select(F.col("id").alias(id_), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -200,31 +189,15 @@ def _first_fit(rows: DataFrame, plan: DataFrame) -> DataFrame:
         cut = saved(_prefix(open_, rests))
         have = cut.where("more = 1").groupBy("pattern").agg(F.sum("size").alias("have"))
         rests = saved(rests.join(have, F.col("p").eqNullSafe(F.col("pattern")), "left").select("p", (F.col("rest") - F.coalesce("have", F.lit(0))).alias("rest")))
-        cut = cut.join(F.broadcast(rests), F.col("pattern").eqNullSafe(F.col("p"))).drop("p")
         fits = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
-        told.append(cut.where(~fits).drop("rest"))
-        open_ = cut.where(fits).select(*rows.columns)
+        cut = saved(cut.join(F.broadcast(rests), F.col("pattern").eqNullSafe(F.col("p"))).withColumn("fits", fits).drop("p", "rest"))
+        told.append(cut.where("not fits").drop("fits"))
+        open_ = cut.where("fits").select(*rows.columns)
         if open_.isEmpty():
             return reduce(DataFrame.unionAll, told)
 
 
-def _filled(chosen: DataFrame, plan: DataFrame) -> DataFrame:
-    """Of each pattern the largest document that fits what is missing is taken too."""
-    have = chosen.groupBy("pattern").agg(F.coalesce(F.sum(F.when(F.col("more") > 0, F.col("size"))), F.lit(0)).alias("have"))
-    gap = have.join(plan, F.col("pattern").eqNullSafe(F.col("p"))).select("p", (F.col("rest") - F.col("have")).alias("gap")).where("gap > 0")
-    fits = chosen.join(F.broadcast(gap), F.col("pattern").eqNullSafe(F.col("p")) & (F.col("size") <= F.col("gap"))).where("more = 0 and size > 0")
-    best = fits.groupBy("pattern").agg(F.min(F.struct((-F.col("size")).alias("s"), "order", "id")).alias("k"))
-    best = F.broadcast(best.select(F.col("pattern").alias("p"), F.col("k.order").alias("o"), F.col("k.id").alias("i"), (-F.col("k.s")).alias("z")))
-    told = chosen.join(best, F.col("pattern").eqNullSafe(F.col("p")) & (F.col("order") == F.col("o")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("z")), "left")
-    return saved(told.select(*[c for c in chosen.columns if c != "more"], F.when(F.col("o").isNotNull(), F.lit(1)).otherwise(F.col("more")).alias("more")))
-
-
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"), fill=FILL)
-
-
-def op4_mixing_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_mixing, skipping what doesn't fit until no document does; no SQL."""
     return mixture(table(spark, sf_dir, "documents"))
 
 
@@ -238,12 +211,8 @@ pour AS (
   FROM (SELECT *, NOT done AND pot * w / sum(CASE WHEN done THEN 0 ELSE w END) OVER () > 3 * source_size AS full_now FROM pour WHERE round < 40)),
 final AS (SELECT gone, s, source_size, CASE WHEN source_size = 0 THEN 0 WHEN done THEN t ELSE pot * w / sum(CASE WHEN done THEN 0 ELSE w END) OVER () END AS target FROM pour WHERE round = 40),
 p AS (SELECT d.doc_id, d.gone || d.s AS s, size, h, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE round_even(target, 0)::BIGINT // source_size END AS times, CASE WHEN source_size = 0 THEN 0 ELSE round_even(target, 0)::BIGINT % source_size END AS rest FROM d JOIN final USING (gone, s)),
-m0 AS (SELECT *, CASE WHEN sum(size) OVER (PARTITION BY s ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS more FROM p),
-g1 AS (SELECT s, rest - coalesce(sum(size) FILTER (more = 1), 0) AS gap FROM m0 GROUP BY s, rest),
-f1 AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY size DESC, h, doc_id) AS r FROM m0 JOIN g1 USING (s) WHERE more = 0 AND size > 0 AND size <= gap),
-m1 AS (SELECT m0.* EXCLUDE (more), CASE WHEN r = 1 THEN 1 ELSE more END AS more FROM m0 LEFT JOIN (SELECT * FROM f1 WHERE r = 1) f USING (doc_id, s)),
-g2 AS (SELECT s, rest - coalesce(sum(size) FILTER (more = 1), 0) AS gap FROM m1 GROUP BY s, rest),
-f2 AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY size DESC, h, doc_id) AS r FROM m1 JOIN g2 USING (s) WHERE more = 0 AND size > 0 AND size <= gap),
-m2 AS (SELECT m1.* EXCLUDE (more), CASE WHEN r = 1 THEN 1 ELSE more END AS more FROM m1 LEFT JOIN (SELECT * FROM f2 WHERE r = 1) f USING (doc_id, s))
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (times + more) * size ELSE 0 END::BIGINT AS taken FROM m2
+l AS (SELECT s, list(doc_id ORDER BY h, doc_id, size) AS ids, list(size ORDER BY h, doc_id, size) AS sizes, list_reduce(list({size: size, room: 0::BIGINT, more: []::INT[]} ORDER BY h, doc_id, size),
+  lambda a, x: {size: 0::BIGINT, room: a.room - CASE WHEN x.size <= a.room THEN x.size ELSE 0 END, more: list_append(a.more, (x.size <= a.room)::INT)}, {size: 0::BIGINT, room: any_value(rest)::BIGINT, more: []::INT[]}).more AS more FROM p GROUP BY s),
+m AS (SELECT s, unnest(ids) AS doc_id, unnest(sizes) AS size, unnest(more) AS more FROM l)
+SELECT p.doc_id, p.size, source_size, target, CASE WHEN p.size > 0 THEN (times + more) * p.size ELSE 0 END::BIGINT AS taken FROM p JOIN m ON m.s = p.s AND m.doc_id = p.doc_id
 """
