@@ -11,8 +11,8 @@ rounds, so the rounds halve.  Names are written to the shared folder before they
 lost executor can't give a block another name.  A hot block's rows are counted before the shuffle
 and its join is a skew join of narrow rows.
 
-Null text is the empty text.  All empty texts are one class.  Rows that repeat an id and text are
-one document told twice: each row counts in group_size, and all have the keeper's values.
+Null text is the empty text.  All empty texts are one class.  Rows that repeat an id and normalised text each
+count in group_size; of them those stay that have as many code points as the keeper.
 Documents with a null id_ count in their group; one stays only where the group has no other row
 with as many code points.
 """
@@ -36,8 +36,9 @@ def normalised(text: Column) -> Column:
 
 def _named(rows: DataFrame, *value: str) -> DataFrame:
     """rows with the name of their value: its place among the sorted distinct values."""
-    order = [F.substring(value[0], 1, 64)] if len(value) == 1 else list(value)  # equal values fall into one range
-    names = rows.select(*value).distinct().repartitionByRange(*order).sortWithinPartitions(*value).withColumn("name", F.monotonically_increasing_id())
+    # Equal values fall into one range; blocks with one head (boilerplate) fall into many.
+    order = [F.substring(value[0], 1, 64), F.xxhash64(value[0])] if len(value) == 1 else list(value)
+    names = rows.select(*value).distinct().repartitionByRange(*order).sortWithinPartitions(*order, *value).withColumn("name", F.monotonically_increasing_id())
     return rows.join(saved(names), list(value)).drop(*value)
 
 
@@ -86,10 +87,10 @@ def exact_groups(docs: DataFrame, text: str = "text", id_: str = "doc_id", block
         class_of.alias("c").join(asked.alias("a"), F.expr("c.id <=> a.id and c.size = a.size and c.sum = a.sum")).select("a.id", "a.size", "a.sum", "a.n", "a.points", "c.class")
     )
     keeper = member.groupBy("class").agg(F.min(F.struct((-F.col("points")).alias("fewer"), F.col("id").isNull().alias("last"), F.col("id"))).alias("k"), F.sum("n").alias("group_size"))
-    told = member.join(keeper, "class").select(F.col("id").alias("i"), F.col("size").alias("s"), F.col("sum").alias("c"), F.col("k.id").alias("keep"), "group_size", F.lit(True).alias("grouped"))
+    told = member.join(keeper, "class").select(F.col("id").alias("i"), F.col("size").alias("s"), F.col("sum").alias("c"), F.col("k.id").alias("keep"), (-F.col("k.fewer")).alias("longest"), "group_size", F.lit(True).alias("grouped"))
     out = rows.join(told, F.expr("id <=> i and size = s and sum = c"), "left")
     keep = F.when(F.col("grouped"), F.col("keep")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), "text_sha256")
+    return out.select(F.col("id").alias(id_), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (keep.eqNullSafe(F.col("id")) & (F.col("points") == F.coalesce("longest", "points"))).alias("kept"), "text_sha256")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
