@@ -33,8 +33,8 @@ GENERATOR = 0b110001110101
 #: Bits of the segments, from the highest bit of a fingerprint down.
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Shingles whose bits are counted at once.
-BLOCK = 1 << 14
+#: Shingles whose bits are counted at once, and fingerprints of a key that are compared without another cut.
+BLOCK, CROWD = 1 << 14, 256
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -124,7 +124,11 @@ def fingerprints(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> Da
 
 
 def _forest(fp: np.ndarray, filed: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of one key's fingerprints: filed ones against all."""
+    """Links of a spanning forest of one key's fingerprints: filed ones against all.
+
+    A crowded key is cut again: fingerprints that differ in no more bits than `distance` agree in one of distance + 1
+    equal parts, so only those that share a part are compared.
+    """
     parent = list(range(len(fp)))
 
     def root(i: int) -> int:
@@ -133,14 +137,22 @@ def _forest(fp: np.ndarray, filed: np.ndarray, distance: int) -> list[tuple[int,
             i = parent[i]
         return i
 
+    groups = [np.arange(len(fp))]
+    if len(fp) > CROWD:
+        groups, width = [], 64 // (distance + 1)
+        for k in range(distance + 1):
+            part = fp >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+            order = np.argsort(part, kind="stable")
+            groups += [g for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(g) > 1]
     links = []
-    for i in np.flatnonzero(filed).tolist():
-        near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= distance)
-        for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((i, j))
+    for group in groups:
+        own = fp[group]
+        for i in group[filed[group]].tolist():
+            for j in group[np.bitwise_count(own ^ fp[i]) <= distance].tolist():
+                a, b = root(i), root(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((i, j))
     return links
 
 
