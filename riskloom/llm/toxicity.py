@@ -215,7 +215,8 @@ def sample(docs: DataFrame, labels: DataFrame, text: str, id_: str, per_class: t
     picked = [known.where((F.col("toxic") > 0) == F.lit(bool(y))).orderBy(order, id_).limit(per_class[y]).select(id_, F.lit(y).alias("_label")) for y in (0, 1)]
     picked = F.broadcast(picked[0].unionAll(picked[1]))  # sum(per_class) ids at most
     texts = docs.select(F.col(id_), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.octet_length("_text").between(1, longest))
-    rows = texts.join(picked, id_).select("_text", F.col("_label").alias("toxic"))
+    # One row of an id, however many repeat it.
+    rows = texts.join(picked, id_).groupBy(id_, F.col("_label").alias("toxic")).agg(F.min("_text").alias("_text"))
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
