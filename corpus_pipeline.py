@@ -31,7 +31,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the most code points, then the smallest id."""
     groups = exact_groups(docs)
-    told = groups.groupBy("doc_id", "text_sha256").agg(F.min("kept").alias("stays"), F.count("*").alias("rows")).where("rows > 1 or not stays")
+    told = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("rows > 1 or not stays")
     told = told.select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"), "stays")
     row, sha, stays, place = "row", "sha", "stays", "place"
     rows = docs.select(F.struct(*_columns(docs)).alias(row), F.sha2(normalised(F.col("text")), 256).alias(sha))
