@@ -1,7 +1,7 @@
 """Reachability, roots, simple paths, label propagation and degrees over edges(source, target).
 
 Fixpoints are frontier rounds: each joins the edges with what the last round found new and removes what
-is known.  Rounds are cut by checkpoint() where the session has a checkpoint folder.
+is known.  Rounds are cut by checkpoint() into the shared folder; what is known stays as the rounds' parts.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.sources import shared
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint in the shared folder, or a cached table where none is named."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    """df computed once, as a checkpoint in the shared folder."""
+    return shared.checkpointed(df)
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         new = cut(new.join(known, ["seed", "node"], "left_anti"))
         if new.isEmpty():
             return known
-        known = cut(known.unionAll(new))
+        known = known.unionAll(new)
 
 
 def reversed_(edges: DataFrame) -> DataFrame:

@@ -22,6 +22,14 @@ def folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once: it outlives executors and isn't drawn again."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def round_trip(df: DataFrame, kind: str, write: Callable, read: Callable) -> DataFrame:
     """What read(spark, path) gives of what write(df.write, path) has written."""
     path = folder(df.sparkSession, kind)
