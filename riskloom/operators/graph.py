@@ -42,6 +42,16 @@ def roots(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return back.join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti").select("seed", F.col("node").alias("root"))
 
 
+def explained(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(seed, sources, reason) of targets(seed): the roots that reach it, sorted and joined, and why it may yet not be tainted."""
+    nodes = edges.select(F.col("source").alias("seed")).union(edges.select("target")).distinct().withColumn("there", F.lit(True))
+    found = roots(edges, targets).groupBy("seed").agg(F.array_join(F.array_sort(F.collect_set("root")), ",").alias("sources"))
+    out = targets.join(nodes, "seed", "left").join(found, "seed", "left")
+    reason = F.when(F.col("there").isNull(), "target_not_in_graph").when(F.col("sources").isNull(), "no_path_from_sources").otherwise("taint_not_propagated")
+    # A target that isn't in the graph is its own root, and has no source.
+    return out.select("seed", F.when(F.col("there").isNull(), "").otherwise(F.coalesce("sources", F.lit(""))).alias("sources"), reason.alias("reason"))
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int | None = 8, stop: bool = True) -> DataFrame:
     """(path, hops) of the paths without a repeated node from starts(node) to ends(node), of at most
     `most` hops, or of any number.  stop: a path goes no further than the first end."""

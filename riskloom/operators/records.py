@@ -29,6 +29,20 @@ SUITABLE = [
 EXTENSIONS = ("java", "py", "js", "ts", "cpp", "c", "cs")
 SKIPPED = ("node_modules", "__pycache__", ".git", "build", "target", "dist", ".vscode")
 
+# Kinds of findings in the order in which names are searched for them; a kind's place is its number.
+TYPES = (
+    "SQL_INJECTION", "COMMAND_INJECTION", "XSS", "PATH_TRAVERSAL", "XXE", "SSRF", "DESERIALIZATION", "LDAP_INJECTION", "LOG_INJECTION", "XPATH_INJECTION", "TRUST_BOUNDARY_VIOLATION", "REFLECTION_INJECTION",
+    "RACE_CONDITION", "WEAK_CRYPTO", "HARDCODED_CREDENTIALS", "INSECURE_RANDOM", "NULL_DEREFERENCE", "RESOURCE_LEAK", "BUFFER_OVERFLOW", "INTEGER_OVERFLOW", "USE_AFTER_FREE", "DOUBLE_FREE", "MEMORY_LEAK", "SAFE",
+)
+
+
+def label_of_name(stem: Column) -> tuple[Column, Column]:
+    """(vulnerable, number of the kind) of a file's name without ending: names of safe files first, then the first kind in the name,
+    with or without its underscores; the first kind if none is."""
+    safe = stem.startswith("SAFE") | stem.contains("Safe") | F.lower(stem).contains("good")
+    found = F.coalesce(*[F.when(F.upper(stem).contains(t) | F.upper(stem).contains(t.replace("_", "")), i) for i, t in enumerate(TYPES)], F.lit(0))
+    return (~safe).cast("int"), F.when(safe, TYPES.index("SAFE")).otherwise(found)
+
 
 def suitability(found: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, suitability) of found(id, sink, sanitizers) under rules(sink, kind, names): .95 with a required one, .60 with an
@@ -241,3 +255,26 @@ def kind_of_code(code: Column, nodes: Column, edges: Column) -> Column:
 def indexed(labels: DataFrame, index: DataFrame, key: str, label: str) -> DataFrame:
     """labels with the index's prefix, 9999 where it has none: the order of a report's list is (prefix, label)."""
     return labels.join(index, key, "left").select(key, label, F.coalesce("prefix", F.lit(9999)).alias("prefix"))
+
+
+def above_threshold(findings: DataFrame, least: float) -> DataFrame:
+    """findings(origin, confidence) without those of the model alone below `least`."""
+    return findings.where((F.col("origin") != "model") | (F.col("confidence") >= least))
+
+
+def first_registered(key: str, *tables: DataFrame) -> DataFrame:
+    """The rows of the tables; of one key the row of the first table that has it."""
+    marked = [t.withColumn("_place", F.lit(i)) for i, t in enumerate(tables)]
+    rows = marked[0]
+    for t in marked[1:]:
+        rows = rows.unionByName(t)
+    columns = tables[0].columns
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*columns), "_place").alias("row")).select("row.*")
+
+
+def file_metrics(lines: DataFrame) -> DataFrame:
+    """(file_id, n_lines, comments, classes, imports) of lines(file_id, line, text)."""
+    text = F.col("text")
+    return lines.groupBy("file_id").agg(
+        F.count("*").alias("n_lines"), F.count_if(text.rlike(r"^\s*(//|/\*|\*)")).alias("comments"), F.sum(F.regexp_count(text, F.lit(r"\bclass\s+\w+"))).alias("classes"), F.count_if(text.rlike(r"^\s*import\s")).alias("imports")
+    )

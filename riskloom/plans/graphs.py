@@ -1,4 +1,4 @@
-"""Queries of the graph operators: a literal taint graph, and the tables' own containment."""
+"""Queries of the graph operators over the tables' own containment, and beside it a taint graph of known shape."""
 
 from __future__ import annotations
 
@@ -15,36 +15,53 @@ EDGES = [
     ("src3", "clean"), ("clean", "sink4"), *[(f"l{i}", f"l{i + 1}") for i in range(12)], ("l12", "sink5"), ("src4", "l0"), ("src1", "sink1"),
 ]
 LABELS = [("sink1", "sql"), ("sink2", "xss"), ("sink2", "sql"), ("sink3", "xxe"), ("sink5", "ssrf")]
-SANITIZED = ["clean"]
 _values = lambda rows: ", ".join("(" + ", ".join(quoted(x) for x in r) + ")" for r in rows)
-SQL_EDGES = f"edges(source, target) AS (VALUES {_values(EDGES)})"
+TABLE_EDGES = """e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'AST' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'CFG' FROM customer
+ UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'DFG' FROM orders UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'CDG' FROM supplier)"""
+
+
+def table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, a, x, b, y, kind in (("nation", "r", "n_regionkey", "n", "n_nationkey", "AST"), ("customer", "n", "c_nationkey", "c", "c_custkey", "CFG"), ("orders", "c", "o_custkey", "o", "o_orderkey", "DFG"), ("supplier", "n", "s_nationkey", "s", "s_suppkey", "CDG")):
+        t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        parts.append(t.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target"), F.lit(kind).alias("kind")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+SQL_EDGES = f"{TABLE_EDGES}, edges(source, target) AS (SELECT * FROM (VALUES {_values(EDGES)}) v(a, b) UNION ALL SELECT source, target FROM e)"
 CLOSURE = "closure(seed, node) AS (SELECT DISTINCT s, s FROM seeds(s) UNION SELECT seed, e.t FROM closure JOIN step e ON e.s = node)"
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "source string, target string")
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(EDGES, "source string, target string").unionAll(table_edges(spark, sf_dir).select("source", "target"))
 
 
-def seeds(spark: SparkSession, like: str) -> DataFrame:
-    e = edges(spark)
-    return e.select("source").union(e.select("target")).distinct().where(F.col("source").startswith(like)).select(F.col("source").alias("seed"))
+def seeds(e: DataFrame, pattern: str) -> DataFrame:
+    """The nodes whose name begins as the pattern says."""
+    return e.select("source").union(e.select("target")).distinct().where(F.col("source").rlike(pattern)).select(F.col("source").alias("seed"))
 
 
+#: Ends of the taint graph; of closures and roots also the regions and suppliers.
 SINKS = "SELECT DISTINCT target FROM edges WHERE starts_with(target, 'sink')"
 SOURCES = "SELECT DISTINCT source FROM edges WHERE starts_with(source, 'src')"
 
 
-@register("g08_reachable", f"WITH RECURSIVE {SQL_EDGES}, step(s, t) AS (SELECT DISTINCT * FROM edges), seeds(s) AS ({SOURCES}), {CLOSURE.replace('seeds(s)', 'seeds').replace('SELECT DISTINCT s, s', 'SELECT s, s')} SELECT * FROM closure")
+@register("g08_reachable", f"WITH RECURSIVE {SQL_EDGES}, step(s, t) AS (SELECT DISTINCT * FROM edges), seeds(s) AS ({SOURCES} OR regexp_matches(source, '^r[0-9]')), {CLOSURE.replace('seeds(s)', 'seeds').replace('SELECT DISTINCT s, s', 'SELECT s, s')} SELECT * FROM closure")
 def reachable(spark, sf_dir):
-    return G.closure(edges(spark), seeds(spark, "src"))
+    e = edges(spark, sf_dir)
+    return G.closure(e, seeds(e, "^(src|r[0-9])"))
 
 
 @register(
     "g09_roots",
-    f"WITH RECURSIVE {SQL_EDGES}, step(s, t) AS (SELECT DISTINCT target, source FROM edges), seeds(s) AS ({SINKS}), closure(seed, node) AS (SELECT s, s FROM seeds UNION SELECT seed, e.t FROM closure JOIN step e ON e.s = node) SELECT seed, node AS root FROM closure WHERE node NOT IN (SELECT target FROM edges)",
+    f"WITH RECURSIVE {SQL_EDGES}, step(s, t) AS (SELECT DISTINCT target, source FROM edges), seeds(s) AS ({SINKS} OR regexp_matches(target, '^s[0-9]')), closure(seed, node) AS (SELECT s, s FROM seeds UNION SELECT seed, e.t FROM closure JOIN step e ON e.s = node) SELECT seed, node AS root FROM closure WHERE node NOT IN (SELECT target FROM edges)",
 )
 def roots(spark, sf_dir):
-    return G.roots(edges(spark), seeds(spark, "sink"))
+    e = edges(spark, sf_dir)
+    return G.roots(e, seeds(e, "^(sink|s[0-9])"))
 
 
 _PATHS = """paths(path, cur, hops) AS (SELECT [source], source, 0 FROM ({starts}) UNION ALL SELECT list_append(path, e.target), e.target, hops + 1 FROM paths JOIN {edges} e ON e.source = cur WHERE NOT list_contains(path, e.target) AND hops < {most}{stop})"""
@@ -55,8 +72,9 @@ _PATHS = """paths(path, cur, hops) AS (SELECT [source], source, 0 FROM ({starts}
     f"WITH RECURSIVE {SQL_EDGES}, once AS (SELECT DISTINCT * FROM edges), {_PATHS.format(starts=SOURCES, edges='once', most=20, stop='')} SELECT array_to_string(path, '>') AS path, hops::INT AS hops FROM paths WHERE starts_with(cur, 'sink')",
 )
 def all_simple_paths(spark, sf_dir):
-    ends = seeds(spark, "sink").withColumnRenamed("seed", "node")
-    out = G.simple_paths(edges(spark).distinct(), seeds(spark, "src").withColumnRenamed("seed", "node"), ends, None, stop=False)
+    e = edges(spark, sf_dir)
+    starts, ends = (seeds(e, p).withColumnRenamed("seed", "node") for p in ("^src", "^sink"))
+    out = G.simple_paths(e.distinct(), starts, ends, None, stop=False)
     return out.select(F.array_join("path", ">").alias("path"), "hops")
 
 
@@ -66,18 +84,26 @@ def all_simple_paths(spark, sf_dir):
 )
 def bounded_paths(spark, sf_dir):
     """Duplicate edges are not collapsed: they give a path each."""
-    ends = seeds(spark, "sink").withColumnRenamed("seed", "node")
-    return G.simple_paths(edges(spark), seeds(spark, "src").withColumnRenamed("seed", "node"), ends).select(F.array_join("path", ">").alias("path"), "hops")
+    e = edges(spark, sf_dir)
+    starts, ends = (seeds(e, p).withColumnRenamed("seed", "node") for p in ("^src", "^sink"))
+    return G.simple_paths(e, starts, ends).select(F.array_join("path", ">").alias("path"), "hops")
 
 
-@register(
-    "g11_why_tainted",
-    f"WITH RECURSIVE {SQL_EDGES}, step(s, t) AS (SELECT DISTINCT target, source FROM edges), seeds(s) AS ({SINKS}), closure(seed, node) AS (SELECT s, s FROM seeds UNION SELECT seed, e.t FROM closure JOIN step e ON e.s = node), r AS (SELECT seed, count(*) FILTER (starts_with(node, 'src')) AS n FROM closure GROUP BY seed) SELECT seed, n AS sources, CASE WHEN n > 0 THEN 'reached by a source' ELSE 'no source reaches it' END AS reason FROM r",
-)
+WHY = f"step(s, t) AS (SELECT DISTINCT target, source FROM edges), seeds(s) AS ({SINKS}), closure(seed, node) AS (SELECT s, s FROM seeds UNION SELECT seed, e.t FROM closure JOIN step e ON e.s = node)"
+
+
+@register("g11_why_tainted", f"WITH RECURSIVE {SQL_EDGES}, {WHY} SELECT seed, string_agg(node, ',' ORDER BY node) AS sources FROM closure WHERE node NOT IN (SELECT target FROM edges) GROUP BY seed UNION ALL SELECT s, '' FROM seeds WHERE s NOT IN (SELECT seed FROM closure WHERE node NOT IN (SELECT target FROM edges))")
 def why_tainted(spark, sf_dir):
-    back = G.closure(G.reversed_(edges(spark)), seeds(spark, "sink"))
-    n = back.groupBy("seed").agg(F.count_if(F.col("node").startswith("src")).alias("sources"))
-    return n.withColumn("reason", F.when(F.col("sources") > 0, "reached by a source").otherwise("no source reaches it"))
+    e = edges(spark, sf_dir)
+    return G.explained(e, seeds(e, "^sink")).select("seed", "sources")
+
+
+@register("g11_why_not_tainted", f"WITH RECURSIVE {SQL_EDGES}, {WHY} SELECT s AS seed, CASE WHEN EXISTS (SELECT 1 FROM closure WHERE seed = s AND node NOT IN (SELECT target FROM edges)) THEN 'taint_not_propagated' ELSE 'no_path_from_sources' END AS reason FROM seeds UNION ALL SELECT 'nowhere', 'target_not_in_graph'")
+def why_not_tainted(spark, sf_dir):
+    """Beside the sinks, a target that the graph doesn't have."""
+    e = edges(spark, sf_dir)
+    asked = seeds(e, "^sink").unionAll(spark.createDataFrame([("nowhere",)], "seed string"))
+    return G.explained(e, asked).select("seed", "reason")
 
 
 @register(
@@ -85,28 +111,7 @@ def why_tainted(spark, sf_dir):
     f"WITH RECURSIVE {SQL_EDGES}, labels(node, label) AS (VALUES {_values(LABELS)}), step(s, t) AS (SELECT DISTINCT target, source FROM edges), closure(seed, node) AS (SELECT node, node FROM labels UNION SELECT seed, e.t FROM closure JOIN step e ON e.s = node) SELECT c.node, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM closure c JOIN labels l ON l.node = c.seed GROUP BY c.node",
 )
 def label_propagation(spark, sf_dir):
-    return G.labels_backward(edges(spark), spark.createDataFrame(LABELS, "node string, label string"))
-
-
-@register("g06_sanitized_edges", f"WITH {SQL_EDGES} SELECT source, target, count(*) AS n, source IN ('clean') OR target IN ('clean') AS is_sanitized FROM edges GROUP BY source, target")
-def sanitized_edges(spark, sf_dir):
-    clean = F.col("source").isin(SANITIZED) | F.col("target").isin(SANITIZED)
-    return edges(spark).groupBy("source", "target").agg(F.count("*").alias("n")).withColumn("is_sanitized", clean)
-
-
-TABLE_EDGES = """e AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'AST' AS kind FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'CFG' FROM customer
- UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'DFG' FROM orders UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'CDG' FROM supplier)"""
-
-
-def table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for name, a, x, b, y, kind in (("nation", "r", "n_regionkey", "n", "n_nationkey", "AST"), ("customer", "n", "c_nationkey", "c", "c_custkey", "CFG"), ("orders", "c", "o_custkey", "o", "o_orderkey", "DFG"), ("supplier", "n", "s_nationkey", "s", "s_suppkey", "CDG")):
-        t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        parts.append(t.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target"), F.lit(kind).alias("kind")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return G.labels_backward(edges(spark, sf_dir), spark.createDataFrame(LABELS, "node string, label string"))
 
 
 @register(

@@ -126,15 +126,6 @@ def brace_depth(spark, sf_dir):
     return all_lines(spark, sf_dir).select("file_id", "line", F.sum(step.cast("long")).over(w).alias("depth"))
 
 
-@register(
-    "j14_label_from_name",
-    "SELECT s_suppkey, CASE WHEN contains(s_name, '1') THEN 'safe' WHEN contains(s_name, '22') THEN 'xss' ELSE 'sql_injection' END AS label FROM supplier",
-)
-def label_from_name(spark, sf_dir):
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return s.select("s_suppkey", F.when(F.col("s_name").contains("1"), "safe").when(F.col("s_name").contains("22"), "xss").otherwise("sql_injection").alias("label"))
-
-
 @register(
     "e24_code_metrics",
     f"WITH {SQL_SOURCES} SELECT file_id, len(string_split(code, chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(code, ';'))::BIGINT AS statements, 1 + len(regexp_extract_all(code, '\\b(if|for|while|case|catch)\\b'))::BIGINT AS complexity FROM sources",

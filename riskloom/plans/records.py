@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.rules import quoted
 from riskloom.operators import records as R
+from riskloom.operators.evidence import gate_table
 from riskloom.operators.lines import numbered_lines, sanitizers
 from riskloom.plans.linewise import _SANITIZERS, SQL_LINES, all_lines
 from riskloom.plans.registry import register
@@ -341,3 +342,34 @@ def diagnostics(spark, sf_dir):
     findings = _table(spark, sf_dir, "events").select("event_id", F.array("event_type").alias("types"), "value").where("value >= 50")
     level = F.when(F.col("value") >= 90, "error").when(F.col("value") >= 70, "warning").otherwise("information")
     return findings.select("event_id", F.explode("types").alias("vuln_type"), level.alias("level"))
+
+
+#: Name stems, whether they tell of a vulnerability, and the number of its kind.
+NAMES = [("VUL1_SQLInjection_Basic", 1, 0), ("SAFE_Example", 0, 23), ("VUL19_TrustBoundaryViolation", 1, 10), ("a_GoodB2G", 0, 23), ("UseAfterFree_XSS", 1, 2), ("weak_crypto_1", 1, 13), ("Unknown", 1, 0), ("IsSafe_XXE", 0, 23)]
+
+
+@register("j14_label_from_name", f"SELECT p_partkey, vulnerable, kind FROM part JOIN (VALUES {', '.join(f'({i}, {b}, {k})' for i, (_, b, k) in enumerate(NAMES))}) v(i, vulnerable, kind) ON i = p_partkey % {len(NAMES)}")
+def label_from_name(spark, sf_dir):
+    stem = F.element_at(F.array(*[F.lit(n) for n, _, _ in NAMES]), (1 + F.col("p_partkey") % len(NAMES)).cast("int"))
+    binary, kind = R.label_of_name(stem)
+    return _table(spark, sf_dir, "part").select("p_partkey", binary.alias("vulnerable"), kind.alias("kind"))
+
+
+@register("p34_model_threshold", "SELECT event_id FROM events WHERE event_id % 3 <> 1 OR value >= 60")
+def model_threshold(spark, sf_dir):
+    """A finding of the model alone needs a confidence of the threshold; what the rules found stays."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(F.lit("rules"), F.lit("model"), F.lit("both")), (1 + F.col("event_id") % 3).cast("int")).alias("origin"), (F.col("value") / 100).alias("confidence"))
+    return R.above_threshold(e, 0.6).select("event_id")
+
+
+@register("e07_gate_registry", "SELECT * FROM (VALUES ('COMMAND_EXEC', 0.7::DOUBLE), ('CUSTOM', 0.4), ('EL_INJECTION', 0.68), ('FILE_OPERATION', 0.5), ('HTML_OUTPUT', 0.6), ('HTTP_RESPONSE_SPLITTING', 0.6), ('LDAP_QUERY', 0.6), ('PATH_TRAVERSAL', 0.62), ('SQL_QUERY', 0.9), ('URL_REDIRECT', 0.55), ('XPATH_QUERY', 0.6), ('XXE', 0.6)) v(sink, direct_at)")
+def gate_registry(spark, sf_dir):
+    """Gates of a configuration before those built in: of one sink the first registration holds."""
+    own = spark.createDataFrame([("SQL_QUERY", 0.9), ("CUSTOM", 0.4)], "sink string, direct_at double")
+    return R.first_registered("sink", own, gate_table(spark).select("sink", "direct_at"))
+
+
+@register("e25_file_metrics", f"""WITH {SQL_DOCS}, t AS (SELECT * FROM lines UNION ALL SELECT file_id, unnest(range(1, len(p) + 1)), unnest(p) FROM (SELECT file_id, string_split(code, chr(10)) AS p FROM (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for a, b in TEXTS)}) v(file_id, code)))
+    SELECT file_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(text, '^\\s*(//|/[*]|[*])')) AS comments, sum(len(regexp_extract_all(text, '\\bclass\\s+\\w+')))::BIGINT AS classes, count(*) FILTER (regexp_matches(text, '^\\s*import\\s')) AS imports FROM t GROUP BY file_id""")
+def file_metrics(spark, sf_dir):
+    return R.file_metrics(texts(spark, sf_dir))
