@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import deque
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,8 @@ from riskloom.llm.common import saved, table
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Hash buckets of a pattern (as many hex digits), and patterns at most.
 DIGITS, PATTERNS = 4, 100_000
+#: Documents of a pattern that one task goes through, at most.
+FOLD = 1_000_000
 SEED = "mix"
 
 
@@ -178,11 +181,22 @@ def _prefix(rows: DataFrame, rests: DataFrame) -> DataFrame:
     return rest.unionAll(parted.select(*rest.columns))
 
 
+def _fitted(rows: pa.Table) -> pa.Table:
+    """A pattern's documents with more: 1 for each that fits what those before it in hash order have left of the rest."""
+    rows = rows.sort_by([("order", "ascending"), ("size", "ascending")])
+    rest, more = rows.column("rest")[0].as_py() if len(rows) else 0, []
+    for size in rows.column("size").to_pylist():
+        more.append(int(size <= rest))
+        rest -= size if size <= rest else 0
+    return rows.drop(["rest"]).append_column("more", pa.array(more, pa.int32()))
+
+
 def _first_fit(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with more: 1 for each document that fits what the documents before it in hash order have left of the rest.
 
     A round takes the prefix up to a document that doesn't fit; no later document as large can fit, and
-    the smaller ones are the next round's.  Rows leave once they are decided, so rounds get small.
+    the smaller ones are left.  Rows leave once they are decided.  As soon as no pattern has more than FOLD left,
+    its rows are gone through in order by one task a pattern; until then rounds go on.
     """
     open_, rests, told = rows, plan.select("p", "rest"), []
     while True:
@@ -190,11 +204,15 @@ def _first_fit(rows: DataFrame, plan: DataFrame) -> DataFrame:
         have = cut.where("more = 1").groupBy("pattern").agg(F.sum("size").alias("have"))
         rests = saved(rests.join(have, F.col("p").eqNullSafe(F.col("pattern")), "left").select("p", (F.col("rest") - F.coalesce("have", F.lit(0))).alias("rest")))
         fits = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
-        cut = saved(cut.join(F.broadcast(rests), F.col("pattern").eqNullSafe(F.col("p"))).withColumn("fits", fits).drop("p", "rest"))
-        told.append(cut.where("not fits").drop("fits"))
-        open_ = cut.where("fits").select(*rows.columns)
-        if open_.isEmpty():
+        cut = saved(cut.join(F.broadcast(rests), F.col("pattern").eqNullSafe(F.col("p"))).withColumn("fits", fits).drop("p"))
+        told.append(cut.where("not fits").drop("fits", "rest"))
+        open_ = cut.where("fits").select(*rows.columns, "rest")
+        most = open_.groupBy("pattern").count().agg(F.max("count")).first()[0] or 0
+        if most <= FOLD:
+            if most:
+                told.append(open_.groupBy("pattern").applyInArrow(_fitted, told[0].select(*rows.columns, "more").schema).select(*told[0].columns))
             return reduce(DataFrame.unionAll, told)
+        open_ = open_.drop("rest")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

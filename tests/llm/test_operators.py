@@ -157,8 +157,10 @@ def test_mixing(spark, odd, empty):
     assert share[0] == 300 and share[2] == 30 and share[3] == 0 and abs(sum(share) - 1110) < 1e-9
 
 
-def test_mixing_goes_on_after_what_does_not_fit(spark):
+@pytest.mark.parametrize("fold", [0, 1_000_000])
+def test_mixing_goes_on_after_what_does_not_fit(spark, monkeypatch, fold):
     """A giant document first in hash order, larger than the rest of its target, is skipped; its source still gets to its target."""
+    monkeypatch.setattr(mixing, "FOLD", fold)
     md5 = lambda i: hashlib.md5(f"mix|{i}".encode()).hexdigest()
     giant = min(range(1000, 1400), key=md5)
     size = {i: 40_000 if i == giant else 1 + i % 97 for i in range(1000, 1400)} | {i: i % 89 for i in range(2000, 3000)}
