@@ -39,7 +39,7 @@ from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, dropped,
 
 ORDER, ALPHA, CUTOFF = 3, 0.4, 1
 #: Bytes of text in a slice, about, and ranges of the hash.
-SLICE, RANGES = 12 << 20, 4
+SLICE, RANGES = 6 << 20, 3
 
 
 def words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +153,10 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA
     with _shuffles_dropped(spark):
         for r in range(RANGES):
             # Dealt by gram once, for the sums and for the join: both read all columns, so Spark sees one exchange.
+            # Of the counts only n-grams of several slices are hashed in a task; the asking rows stream past them.
             asked = exploded(texts, order, r).repartition("gram")
             table_ = counted(asked).where("shared") if own else counted(exploded(counted_in, order, r))
-            told = asked.join(table_.hint("merge"), (F.col("gram") == F.col("key")) & (F.col("total") >= F.col("times") if own else F.lit(True)))
+            told = asked.join(table_.hint("shuffle_hash"), (F.col("gram") == F.col("key")) & (F.col("total") >= F.col("times") if own else F.lit(True)))
             told.select(F.col("slice").cast("int").alias("slice"), F.lit(r).alias("range"), "place", "total").write.mode("append").parquet(folder)
         both = texts.groupBy("slice").cogroup(spark.read.parquet(folder).groupBy(F.col("slice").cast("long")))
         kind = docs.schema[id_].dataType.simpleString()
