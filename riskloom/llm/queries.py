@@ -15,6 +15,7 @@ from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.substring_dedup import op3_substring_dedup
 from riskloom.llm.token_counts import op1_token_counts
 from riskloom.llm.toxicity import op10_toxicity
+from riskloom.llm.vector_codes import OP12_SQL, op12_vector_codes
 from riskloom.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op10_toxicity": op10_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
