@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskloom.llm.alignment import op11_token_alignment
 from riskloom.llm.decontamination import OP7_SQL, op7_benchmark_decontamination
 from riskloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from riskloom.llm.licenses import op2_license_scan
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op10_toxicity": op10_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_vector_codes": op12_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
