@@ -27,15 +27,12 @@ occurs once, so that its score is finite; of an empty corpus every word does.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, dropped, joined, mix, new_folder, saved, table, word_spans
+from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, dropped, joined, mix, new_folder, saved, shuffles_dropped, table, word_spans
 
 ORDER, ALPHA, CUTOFF = 3, 0.4, 1
 #: Bytes of text in a slice, about, and ranges of the hash.
@@ -99,18 +96,6 @@ def _sliced(docs: DataFrame, text: str, id_: str) -> DataFrame:
     return rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)))
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when the query ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, cutoff: int = CUTOFF, order: int = ORDER, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id_, n_words, score and mean (the score by word; 0 without words) of every row of docs.
 
@@ -150,7 +135,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA
             "value": np.bincount(place, value, count).astype(np.float64), "bare": np.bincount(place, bare, count).astype(np.int64),
         })
 
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         for r in range(RANGES):
             # Dealt by gram once, for the sums and for the join: both read all columns, so Spark sees one exchange.
             # Of the counts only n-grams of several slices are hashed in a task; the asking rows stream past them.

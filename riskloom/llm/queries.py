@@ -14,6 +14,7 @@ from riskloom.llm.lm_scoring import OP5_SQL, op5_lm_scoring
 from riskloom.llm.mixing import OP4_SQL, op4_mixing
 from riskloom.llm.simhash import op9_simhash_near_dedup
 from riskloom.llm.substring_dedup import op3_substring_dedup
+from riskloom.llm.suffix_trees import op13_passage_dedup
 from riskloom.llm.token_counts import op1_token_counts
 from riskloom.llm.toxicity import op10_toxicity
 from riskloom.llm.vector_codes import OP12_SQL, op12_vector_codes
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op11_token_alignment": op11_token_alignment,
     "op12_vector_codes": op12_vector_codes,
+    "op13_passage_dedup": op13_passage_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
