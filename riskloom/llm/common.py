@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -68,17 +68,21 @@ def dropped(spark: SparkSession, folder: str) -> None:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when the query ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within it, a setting of the session has a value; after it, what it had before."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def shuffles_dropped(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within it, a query's shuffle files go when the query ends."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def local_path(url: str) -> str | None:
     """The path behind a file: URL or a bare path; None for another store."""
     if url.startswith("file:"):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Spans, bounded_batches, dropped, joined, mix, new_folder, runs, saved, shuffles_dropped, table
+from riskloom.llm.common import Spans, bounded_batches, dropped, joined, mix, new_folder, runs, saved, setting, shuffles_dropped, table
 
 LENGTH, PREFIX = 35, 16
 #: Suffixes of one prefix that a task takes; bytes of text in a slice, and suffixes in a bucket of names, about.
@@ -192,8 +192,9 @@ def _texts(docs: DataFrame, slice_: int) -> tuple[DataFrame, int]:
     rows = docs.select("key", "text").mapInArrow(once, "key binary not null, copies long not null, text string")
     rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(slices)).alias("slice"), "key", "copies", "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slices // 16)
-    # A text stands before the rows that only count it.
-    return saved(rows.repartition(parts, "slice").sortWithinPartitions("slice", "key", F.col("text").isNull())), size
+    # A plan that doesn't adapt tells how its checkpoint is dealt and sorted, so that later groupings by slice don't move it.
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        return saved(rows.repartition(parts, "slice").sortWithinPartitions("slice")), size
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, memory: int = MEMORY, slice_: int = SLICE, bucket: int = BUCKET, texts_: bool = True) -> DataFrame:
