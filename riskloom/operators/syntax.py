@@ -655,7 +655,8 @@ class Tree:
 
     def __init__(self, code: str | None):
         code = code or ""
-        parser = Parser(code)
+        self.code, self.parser = code, Parser(code)
+        parser = self.parser
         self.starts = parser.start
         self.ends = [s + len(t) for s, t in zip(parser.start, parser.text, strict=False)]
         breaks = [m.start() for m in re.finditer("\n", code)]
@@ -688,7 +689,7 @@ SCHEMA = "file_id string, node int, last int, parent int, kind string, name stri
 def parsed(files: DataFrame, rows_of: Callable[[Tree], Iterator[tuple]], schema: str, id_: str = "file_id", code: str = "code") -> DataFrame:
     """What rows_of makes of each file's tree, behind the file's id."""
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [{"string": pa.string(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}[f.split()[1]] for f in schema.split(", ")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
