@@ -8,7 +8,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import alias, flow, syntax
+from riskloom.operators import alias, flow, graph, program_graph, syntax
 from riskloom.operators.syntax import Tree
 from riskloom.plans.code import CODE
 
@@ -160,3 +160,71 @@ def test_alias_metrics(spark):
     assert [tuple(r) for r in alias.fields(found).collect()] == [("some", "f.x", "f", "x")]
     told = alias.answers(found, spark.createDataFrame([("some", "f.x", "f"), ("some", "y", "y"), ("some", "y", "f")], "file_id string, a string, b string"))
     assert {(r.a, r.b, r.alias, r.confidence) for r in told.collect()} == {("f.x", "f", "may", 0.7), ("y", "y", "must", 1.0), ("y", "f", "unknown", 0.3)}
+
+
+def brute_reaching(tree, f):
+    """(definition, use) by nodes of one method without parameters, following single paths over steps until nothing new is seen."""
+    own = flow.Flow(tree, f)
+    steps = [[s.number for s in b] for b in own.steps]
+    last = {n.number: n.last for n in tree.nodes}
+    by = {n.number: n for n in tree.nodes}
+
+    def defs(s):
+        out = []
+        for k in range(s, last[s] + 1):
+            n = by[k]
+            if n.kind == "declare" and n.children:
+                out.append((k, n.name))
+            if (n.kind == "assign" or (n.kind == "unary" and n.detail in ("++", "--"))) and n.children[0].kind == "name":
+                out.append((k, n.children[0].name))
+        return out
+
+    def reads(s):
+        set_ = {by[k].children[0].number for k in range(s, last[s] + 1) if by[k].kind == "assign" and by[k].detail == "="}
+        return [(k, by[k].name) for k in range(s, last[s] + 1) if by[k].kind == "name" and k not in set_]
+
+    found, seen, todo = set(), set(), [(0, ())]
+    while todo:
+        block, state = todo.pop()
+        if (block, state) in seen:
+            continue
+        seen.add((block, state))
+        now = dict(state)
+        for s in steps[block]:
+            found |= {(now[v], u) for u, v in reads(s) if v in now}
+            now.update({v: d for d, v in defs(s)})
+        todo += [(b, tuple(sorted(now.items()))) for a, b, _ in own.edges if a == block]
+    return found
+
+
+def test_definitions_reach(spark):
+    r, files = random.Random(5), {}
+
+    def statement(depth):
+        v, w = r.choice("abc"), r.choice("abc")
+        kind = r.randrange(8 if depth else 4)
+        inner = lambda: "{ " + " ".join(statement(depth - 1) for _ in range(r.randint(0, 3))) + " }"
+        if kind < 4:
+            return [f"{v} = {w} + 1;", f"{v} += {w};", f"{v}++;", f"f({v}, {w});"][kind]
+        if kind == 4:
+            return f"if ({v} > 0) {inner()} else {inner()}"
+        return [f"while ({v} < 3) ", f"if ({v} == 0) ", f"for (; {v} < {w}; {w}++) "][kind - 5] + inner()
+
+    for i in range(10):
+        files[f"f{i}"] = "void m() { int a = 0; " + " ".join(statement(3) for _ in range(5)) + " return a; }"
+    df = spark.createDataFrame([*files.items()], "file_id string, code string")
+    nodes, flows = syntax.tree(df).cache(), flow.flow(df).cache()
+    want = {(k, d, u) for k, code in files.items() for t in [Tree(code)] for d, u in brute_reaching(t, t.top[0])}
+    assert {(x.file_id, x.source, x.target) for x in program_graph.data_flow(nodes, flows).collect()} == want
+    # Everything within a control structure is what the closure over the tree's edges finds.
+    tree = nodes.where("parent > 0").select(F.concat_ws(":", "file_id", "parent").alias("source"), F.concat_ws(":", "file_id", "node").alias("target"))
+    control = nodes.where(F.col("kind").isin(*program_graph.CONTROL)).select(F.concat_ws(":", "file_id", "node").alias("seed"))
+    closed = {tuple(x) for x in graph.closure(tree, control).where("seed <> node").collect()}
+    assert {(f"{x.file_id}:{x.source}", f"{x.file_id}:{x.target}") for x in program_graph.control_dependence(nodes).collect()} == closed
+
+
+def test_calls_find_methods(spark):
+    code = "class A { void f() { g(1); this.g(2, 3); o.g(4); h(); } void g(int a) { f(); } void g(int a, int b) { } }"
+    nodes = syntax.tree(spark.createDataFrame([("a", code), ("b", "void h() { }")], "file_id string, code string")).cache()
+    name = {r.node: f"{r.name}{sum(1 for c in nodes.collect() if c.kind == 'parameter' and c.parent == r.node)}" for r in nodes.where("file_id = 'a' and kind in ('method', 'call')").collect()}
+    assert sorted((name[r.source], name[r.target]) for r in program_graph.calls(nodes).collect()) == [("f0", "f0"), ("g0", "g1"), ("g0", "g2")]
