@@ -13,7 +13,7 @@ those that still fit are cut again, until none is left.  Documents are taken who
 
 The driver sees sums by pattern: as many rows as there are patterns (checked against `patterns`).
 
-Null text has size 0.  A null source is a source of its own, the last.  Documents of size 0 have
+Null text has size 0.  A null source is a source of its own, the last, and so is a null array of sources.  Documents of size 0 have
 taken 0.  Sources of size 0 have target 0.  Rows that repeat an id are documents of their own.
 """
 
@@ -133,13 +133,14 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     """
     spark = docs.sparkSession
     several = isinstance(docs.schema[source].dataType, T.ArrayType)
-    pattern = F.array_sort(F.array_distinct(F.col(source))) if several else F.array(F.col(source))
+    # A null array is a document without any named source, as a null source is.
+    pattern = F.coalesce(F.array_sort(F.array_distinct(F.col(source))), F.array(F.lit(None))) if several else F.array(F.col(source))
     rows = docs.select(F.col(id_).alias("id"), size_of(F.col(text)).alias("size"), pattern.alias("pattern"))
     rows = saved(rows.withColumn("order", _hash(seed, "id")).withColumn("bucket", F.conv(F.substring("order", 1, DIGITS), 16, 10).cast("int")))
     got = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
     if len(got) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} membership patterns")
-    names = sorted({s for r in got for s in r["pattern"]}, key=lambda s: (s is None, s or ""))
+    names = sorted({s for r in got for s in r["pattern"]}, key=lambda s: (s is None, 0 if s is None else s))
     place = {s: i for i, s in enumerate(names)}
     members = [[place[s] for s in r["pattern"]] for r in got]
     # A pattern's tokens count for each of its sources when the sources are weighed.

@@ -179,9 +179,12 @@ def _headed(r: dict, body: bytes) -> bytes:
     return data.replace(b"X-Payload-Length: 0\r\n", b"X-Payload-Length: %d\r\n" % r["length"], 1) if r["revisit"] else data
 
 
-def read_bundles(spark: SparkSession, files: list[str] | str, id_: str = "page_id") -> DataFrame:
+def read_bundles(spark: SparkSession, files: list[str] | str, id_: str = "page_id", kind: str = "long") -> DataFrame:
     """What the archives hold: id_, payload_bytes, payload_digest, record_type, refers_to, url, payload,
-    bundle, frame and offset.  Of a response the first two are computed from the payload read."""
+    bundle, frame and offset.  Of a response the first two are computed from the payload read.
+
+    kind: the type of the ids, long or string.
+    """
     import hashlib
 
     bounded_batches(spark)
@@ -189,7 +192,8 @@ def read_bundles(spark: SparkSession, files: list[str] | str, id_: str = "page_i
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [id_, "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "bundle", "frame", "offset"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
+        own, of = (pa.int64(), int) if kind == "long" else (pa.string(), str)
+        kinds = [own, pa.int64(), pa.string(), pa.string(), own, pa.string(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 content = content.as_buffer().to_pybytes()
@@ -204,10 +208,10 @@ def read_bundles(spark: SparkSession, files: list[str] | str, id_: str = "page_i
                             raise ValueError(f"damaged record in {path}, frame {number}")
                         page, first = head.get("X-Page-ID"), head.get("X-Refers-To-Page") if revisit else None
                         length = int(head["X-Payload-Length"]) if revisit else len(payload)
-                        out.append((int(page) if page is not None else None, length, digest, head["WARC-Type"], int(first) if first is not None else None, head["WARC-Target-URI"], payload, path, number, offset))
+                        out.append((of(page) if page is not None else None, length, digest, head["WARC-Type"], of(first) if first is not None else None, head["WARC-Target-URI"], payload, path, number, offset))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return found.mapInArrow(parsed, f"`{id_}` long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, bundle string, frame int, offset long")
+    return found.mapInArrow(parsed, f"`{id_}` {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, url string, payload binary, bundle string, frame int, offset long")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

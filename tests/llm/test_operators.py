@@ -148,6 +148,16 @@ def test_mixing_overlapping_sources(spark):
     assert counted(got) == counted(mixing.mixture(docs).collect())
 
 
+def test_mixing_sources_of_any_kind(spark):
+    """Null arrays are a source of their own; sources needn't be strings."""
+    rows = [(i, "w " * (1 + i % 5), [None, ["a"], [None, "b"]][i % 3]) for i in range(60)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    assert len(got) == 60 and all(r.taken <= 3 * r["size"] for r in got)
+    rows = [(i, "w " * (1 + i % 5), [0, 7, None][i % 3]) for i in range(60)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source int")).collect()
+    assert sorted({(r.source_size, round(r.target, 6)) for r in got}) == [(60, 22.5), (60, 45.0), (60, 112.5)]
+
+
 def test_mixing(spark, odd, empty):
     got = mixing.mixture(odd).collect()
     assert len(got) == odd.count() and counted(got) == counted(mixing.mixture(odd).collect())
@@ -286,6 +296,14 @@ def test_longest_matches(spark):
         assert (r.longest_match, r.n_hit) == (best, len(hit))
 
 
+def test_warc_string_ids_and_odd_columns(spark, tmp_path):
+    rows = [("a", "u", "x" * 1200, "i", 1), ("b", None, "x" * 1200, "j", 2), (None, "u", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, id string, digest int")
+    warc.write_bundles(pages, f"file://{tmp_path}/s")
+    got = warc.read_bundles(spark, f"file://{tmp_path}/s", kind="string").collect()
+    assert counted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == counted([("a", 1200, "revisit", "b"), ("b", 1200, "response", None), (None, 0, "response", None)])
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 600
     rows = [(1, "http://a", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", "x" * 2000), (7, "u", "x" * 2000), (7, "u", "x" * 2000)]
