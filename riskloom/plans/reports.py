@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.plans.registry import register
 from riskloom.sources import shared, sinks
 from riskloom.sources.files import last_of_key
-from riskloom.streaming import changes
+from riskloom.streaming import changes, debounce
 
 #: Scanner a reports error and purchase events of even users, scanner b error and click events of users divisible by three.
 SCANNERS = """a AS (SELECT DISTINCT user_id AS file, event_type AS kind FROM events WHERE event_type IN ('error', 'purchase') AND user_id % 2 = 0 AND value > 40),
@@ -199,3 +199,25 @@ def natural_order(spark, sf_dir):
 def source_lines(spark, sf_dir):
     lines = F.split("text", "\n")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).cast("long").alias("blank"), F.array_max(F.transform(lines, F.length)).cast("long").alias("longest"))
+
+
+#: Seconds in which a user's events count as one burst.
+BUFFER = 3600
+_SETTLED = f"WITH {EVENTS}, n AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, event_id) AS next FROM ev) SELECT event_id, path, change_type FROM n WHERE (next IS NULL OR next > ts + INTERVAL {BUFFER} SECONDS) AND ts + INTERVAL {BUFFER} SECONDS <= (SELECT max(ts) FROM ev)"
+
+
+@register("t07_settled_changes", _SETTLED)
+def settled_changes(spark, sf_dir):
+    """Of each burst of events the last, as a stream that holds events until their buffer time is over."""
+    with debounce.store(spark):
+        told = debounce.analyzers({"settled": debounce.settled(change_events(_events_stream(spark, sf_dir)), BUFFER)}, shared.folder(spark, "settled"))
+    return told["settled"].select("event_id", "path", "change_type")
+
+
+@register("t06_named_analyzers", f"WITH s AS ({_SETTLED}), c AS ({_CHANGED}), r AS (SELECT 'settled' AS analyzer, count(*) AS files, count(*) FILTER (change_type = 'created') AS found FROM s UNION ALL SELECT 'changed', count(*), count(*) FILTER (change_type = 'created') FROM c) SELECT * FROM r UNION ALL SELECT 'all', sum(files)::BIGINT, sum(found)::BIGINT FROM r")
+def named_analyzers(spark, sf_dir):
+    """Two analyzers of one stream, each a query of its own with its checkpoint, and what they have counted alone and together."""
+    stream = lambda: change_events(_events_stream(spark, sf_dir))
+    with debounce.store(spark):
+        tables = debounce.analyzers({"settled": debounce.settled(stream(), BUFFER), "changed": changes.changed_stream(stream())}, shared.folder(spark, "analyzers"))
+    return debounce.overall(tables, lambda rows: rows.where("change_type = 'created'"))
