@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.plans.registry import register
-from riskloom.sources import shared, sinks
+from riskloom.sources import delivery, shared, sinks
 from riskloom.sources.files import last_of_key
 from riskloom.streaming import changes, debounce
 
@@ -221,3 +221,22 @@ def named_analyzers(spark, sf_dir):
     with debounce.store(spark):
         tables = debounce.analyzers({"settled": debounce.settled(stream(), BUFFER), "changed": changes.changed_stream(stream())}, shared.folder(spark, "analyzers"))
     return debounce.overall(tables, lambda rows: rows.where("change_type = 'created'"))
+
+
+def _bodies(kind: str):
+    f = f"(SELECT file_id, vuln_type, CASE WHEN confidence >= 0.9 THEN 'critical' WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM found)"
+    event = '{{"file_id":"\' || file_id || \'","vuln_type":"\' || vuln_type || \'","severity":"\' || severity || \'"}}'.replace("{{", "{").replace("}}", "}")
+    texts = {
+        "splunk": f"'{{\"index\":\"main\",\"source\":\"riskloom\",\"event\":{event}}}'", "sentinel": f"'[{event}]'", "generic": f"'{event}'", "elasticsearch": f"'{event}'",
+        "qradar": f"'{{\"magnitude\":' || CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 8 WHEN 'medium' THEN 6 ELSE 4 END || ',\"event_name\":\"riskloom detection\",\"description\":\"Vulnerability detected in ' || file_id || '\",\"custom_properties\":{event}}}'",
+    }
+    return f"SELECT file_id || ':' || vuln_type AS key, '{kind}' AS kind, {texts[kind]} AS body FROM {f}"
+
+
+@register("w07_event_bodies", f"WITH {FOUND} " + " UNION ALL ".join(_bodies(k) for k in delivery.KINDS))
+def event_bodies(spark, sf_dir):
+    """What each kind of collector is sent for each finding, under the finding's key."""
+    rows = sinks.event(found(spark, sf_dir))
+    event = F.struct("file_id", "vuln_type", "severity")
+    texts = [F.struct(F.lit(k).alias("kind"), delivery.body(k, event, F.col("severity"), F.col("file_id")).alias("body")) for k in delivery.KINDS]
+    return rows.select(F.concat_ws(":", "file_id", "vuln_type").alias("key"), F.explode(F.array(*texts)).alias("b")).select("key", "b.*")
