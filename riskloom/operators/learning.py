@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.graph import cut
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -85,14 +87,26 @@ def stacked(votes: DataFrame, models: Sequence[str], label: str, id_: str, folds
     return out
 
 
-def minimal_failing(items: Sequence[str], fails: Callable[[list[str]], bool]) -> list[str]:
-    """What is left of items when each is left out, one at a time in order, if the rest still fails."""
-    kept = list(items)
-    for item in items:
-        rest = [x for x in kept if x != item]
-        if fails(rest):
-            kept = rest
-    return kept
+def minimal_failing(items: DataFrame, fails: Callable[[DataFrame], DataFrame], order: str, item: str) -> DataFrame:
+    """What is left of items(order, item) when each is left out, one at a time in order, if the rest still fails.
+
+    fails: of candidates(candidate, item), sets of items as rows, the candidates (candidate) that fail.  Leaving out one
+    after the other goes on up to the first that is needed; a round tests all these sets at once, keeps that one and goes on
+    behind it, so there are as many rounds as items that stay, and one more.
+    """
+    rows = cut(items.select(F.row_number().over(Window.orderBy(order)).alias("place"), item))  # the items of one report
+    kept: list[int] = []
+    n, done = rows.count(), 0
+    while done < n:
+        # Candidate j leaves out the items after `done` up to j.
+        tried = rows.where(F.col("place") > done).select("place", item, F.explode(F.sequence(F.lit(done + 1), F.lit(n))).alias("candidate")).where(F.col("place") > F.col("candidate"))
+        stays = rows.where(F.col("place").isin(kept)).select(item, F.explode(F.sequence(F.lit(done + 1), F.lit(n))).alias("candidate"))
+        failing = {r[0] for r in fails(tried.select("candidate", item).unionByName(stays.select("candidate", item))).select("candidate").distinct().collect()}
+        needed = next((j for j in range(done + 1, n + 1) if j not in failing), n + 1)
+        if needed <= n:
+            kept.append(needed)
+        done = needed
+    return rows.where(F.col("place").isin(kept)).select(item)
 
 
 def greedy_choice(rewards: DataFrame, key: str, path: str, reward: str, rate: float = 0.01, explore: float = 0.0, seed: int = 42) -> DataFrame:

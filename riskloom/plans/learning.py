@@ -76,9 +76,11 @@ def stacking(spark, sf_dir):
 
 @register("q11_minimal_failing_set", "SELECT n_name FROM nation WHERE n_nationkey IN (3, 17)")
 def minimal_failing_set(spark, sf_dir):
-    names = [r[0] for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]  # the items of a report
-    kept = N.minimal_failing(names, lambda rest: {"NATION_3", "NATION_17"} <= set(rest))
-    return spark.createDataFrame([(n,) for n in kept], "n_name string")
+    def fails(candidates):
+        """Sets with both of two nations."""
+        return candidates.groupBy("candidate").agg(F.count_if(F.col("n_name").isin("NATION_3", "NATION_17")).alias("n")).where("n = 2")
+
+    return N.minimal_failing(_table(spark, sf_dir, "nation"), fails, "n_nationkey", "n_name")
 
 
 @register("q12_epsilon_greedy", "WITH q AS (SELECT user_id, event_type AS path, sum(value) / 100 AS q FROM events GROUP BY ALL) SELECT user_id, path, round(q, 6) AS q FROM q QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY q DESC, path) = 1")

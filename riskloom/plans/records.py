@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.rules import quoted
 from riskloom.operators import records as R
-from riskloom.operators.evidence import gate_table
+from riskloom.operators.evidence import GATES, gate_table
 from riskloom.operators.lines import numbered_lines, sanitizers
 from riskloom.plans.linewise import _SANITIZERS, SQL_LINES, all_lines
 from riskloom.plans.registry import register
@@ -362,10 +362,16 @@ def model_threshold(spark, sf_dir):
     return R.above_threshold(e, 0.6).select("event_id")
 
 
-@register("e07_gate_registry", "SELECT * FROM (VALUES ('COMMAND_EXEC', 0.7::DOUBLE), ('CUSTOM', 0.4), ('EL_INJECTION', 0.68), ('FILE_OPERATION', 0.5), ('HTML_OUTPUT', 0.6), ('HTTP_RESPONSE_SPLITTING', 0.6), ('LDAP_QUERY', 0.6), ('PATH_TRAVERSAL', 0.62), ('SQL_QUERY', 0.9), ('URL_REDIRECT', 0.55), ('XPATH_QUERY', 0.6), ('XXE', 0.6)) v(sink, direct_at)")
+_GATES = ", ".join(f"('{g[0]}', {g[1]}::DOUBLE)" for g in GATES)
+_OWN = "SELECT CASE event_type WHEN 'error' THEN 'SQL_QUERY' WHEN 'view' THEN 'XXE' ELSE upper(event_type) END AS sink, round(avg(value) / 100, 9) AS direct_at FROM events GROUP BY event_type"
+
+
+@register("e07_gate_registry", f"WITH own AS ({_OWN}), built AS (SELECT * FROM (VALUES {_GATES}) v(sink, direct_at)) SELECT * FROM own UNION ALL SELECT * FROM built WHERE sink NOT IN (SELECT sink FROM own)")
 def gate_registry(spark, sf_dir):
-    """Gates of a configuration before those built in: of one sink the first registration holds."""
-    own = spark.createDataFrame([("SQL_QUERY", 0.9), ("CUSTOM", 0.4)], "sink string, direct_at double")
+    """Gates of a configuration, here one for each kind of event, before those built in: of one sink the first registration holds."""
+    kind = F.col("event_type")
+    sink = F.when(kind == "error", "SQL_QUERY").when(kind == "view", "XXE").otherwise(F.upper(kind))
+    own = _table(spark, sf_dir, "events").groupBy(sink.alias("sink")).agg(F.round(F.avg("value") / 100, 9).alias("direct_at"))
     return R.first_registered("sink", own, gate_table(spark).select("sink", "direct_at"))
 
 

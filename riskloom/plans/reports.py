@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.rules import SQL_SUBJECTS, subjects
+from riskloom.operators import detectors
 from riskloom.plans.registry import register
 from riskloom.sources import delivery, shared, sinks
 from riskloom.sources.files import last_of_key
@@ -99,20 +101,25 @@ def recent_buffer(spark, sf_dir):
     return changes.run_once(_events_stream(spark, sf_dir), shared.folder(spark, "recent"), top=lambda rows: changes.recent(rows, last)).select("event_id", "user_id")
 
 
-@register("t03_analysis_stream", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'empty file' END AS error, CASE WHEN NOT (text IS NULL OR trim(text, ' ') = '') THEN (contains(text, 'DES') OR contains(text, 'MD5'))::INT END AS result FROM documents")
+_HELD = " + ".join(f"coalesce({rule.sql(SQL_SUBJECTS)}, false)::INT" for _, rule in detectors.BANK)
+
+
+@register("t03_analysis_stream", f"SELECT doc_id, CASE WHEN code IS NULL OR trim(code, ' ') = '' THEN 'empty file' END AS error, CASE WHEN NOT (code IS NULL OR trim(code, ' ') = '') THEN {_HELD} END AS result FROM (SELECT doc_id, text AS code FROM documents)")
 def analysis_stream(spark, sf_dir):
+    """How many rules of the detector bank hold for each file of a stream."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-    judged = changes.analyzed(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("code")), lambda c: (c.contains("DES") | c.contains("MD5")).cast("int"))
+    held = lambda c: sum((F.coalesce(rule.column(subjects(c)), F.lit(False)).cast("int") for _, rule in detectors.BANK), F.lit(0))
+    judged = changes.analyzed(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("code")), held)
     return changes.run_once(judged, shared.folder(spark, "analyzed")).select(F.col("path").cast("long").alias("doc_id"), "error", "result")
 
 
-@register("t01_file_events", "SELECT name, hash FROM (VALUES ('a', md5('alpha' || chr(10))), ('b', md5('beta' || chr(10))), ('c', md5('gamma' || chr(10)))) v(name, hash)")
+@register("t01_file_events", "SELECT 'bucket=' || page_id // 100 AS name, md5(string_agg(url || chr(10), '' ORDER BY page_id)) AS hash FROM pages GROUP BY 1")
 def file_event_stream(spark, sf_dir):
-    """The files that a folder holds, as a stream; the folder is written by this query, below the shared one."""
+    """The files that a folder holds, as a stream: the addresses of every hundred pages, in a folder of their own."""
     folder = shared.folder(spark, "tree")
-    for name, text in (("a", "alpha"), ("b", "beta"), ("c", "gamma")):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/files/{name}")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.floor(F.col("page_id") / 100).alias("bucket"), "page_id", "url")
+    pages.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", F.col("url").alias("value")).write.partitionBy("bucket").text(f"{folder}/files")
     rows = changes.run_once(changes.file_events(spark, f"{folder}/files"), f"{folder}/out")
     return rows.where(F.length("code") > 0).select(F.element_at(F.split("path", "/"), -2).alias("name"), "hash")
 

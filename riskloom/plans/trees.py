@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.plans.registry import register
-from riskloom.plans.scanners import FILES
 from riskloom.plans.scores import _table
 from riskloom.sources import files, shared
 
 
-@register("s01_directory_scan", "SELECT name, n_chars FROM (VALUES " + ", ".join(f"('{i}.java', {len(c) + 1})" for i, c in FILES if c) + ") v(name, n_chars)")
+@register("s01_directory_scan", "SELECT coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, count(*) AS n_lines, sum(length(doc_id || ' ' || n_chars) + 1)::BIGINT AS n_chars FROM documents GROUP BY 1, 2")
 def directory_scan(spark, sf_dir):
-    """A tree of source files, each in a folder of its own, beside files that aren't sources."""
-    path = shared.folder(spark, "tree")
-    for name, code in FILES:
-        if code:
-            spark.createDataFrame([(code,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/{name}.java")
-    found = files.source_tree(spark, path, suffix=".txt").where("code <> ''")
-    return found.select(F.element_at(F.split("path", "/"), -2).alias("name"), F.length("code").alias("n_chars"))
+    """A tree of folders by language and source, in which each document has a line in a source file, beside files that aren't sources."""
+    path, docs = shared.folder(spark, "tree"), _table(spark, sf_dir, "documents")
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
+    rows = docs.select(*[F.coalesce(c, F.lit("none")).alias(c) for c in ("lang", "source")], line.alias("value"))
+    rows.write.partitionBy("lang", "source").option("maxRecordsPerFile", 100_000).text(path)
+    rows.write.partitionBy("lang", "source").mode("append").option("maxRecordsPerFile", 100_000).csv(path)
+    found = files.source_tree(spark, path, suffix=".txt")
+    folder = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1).alias(name)
+    # The reader decodes no names of folders: language and source are plain.
+    lines = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit("")))
+    return found.select(folder("lang"), folder("source"), lines.alias("n"), F.length("code").alias("c")).groupBy("lang", "source").agg(F.sum("n").cast("long").alias("n_lines"), F.sum("c").cast("long").alias("n_chars"))
 
 
 @register("s02_path_dispatch", """SELECT page_id, (ARRAY['source', 'records', 'tree', 'unsupported', 'tree'])[1 + (page_id % 5)::INT] AS reader FROM pages""")
