@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.rules import quoted
+from riskloom.operators import answers
 from riskloom.operators import graph as G
 from riskloom.plans.registry import register
+from riskloom.sources import shared
 
 #: Chain, diamond, cycle, isolated sink, duplicate edge, sanitized end, a path longer than eight hops.
 EDGES = [
@@ -152,3 +154,14 @@ def order_taint(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.coalesce(F.bool_or(F.col("role") == "user").over(w), F.lit(False))
     return c.select("conv_id", "turn", F.lower("text").contains("the").alias("sink"), seen.alias("seen")).where("sink and seen").select("conv_id", "turn")
+
+
+@register("f07_path_index", f"""WITH RECURSIVE {SQL_EDGES}, step(s, t) AS (SELECT DISTINCT * FROM edges), first(s) AS ({SOURCES} OR regexp_matches(source, '^r[0-9]')),
+    walk(source, node, hops) AS (SELECT s, s, 0 FROM first UNION SELECT w.source, t, hops + 1 FROM walk w JOIN step ON step.s = w.node WHERE hops < 20),
+    near AS (SELECT source, node, min(hops) AS hops FROM walk GROUP BY source, node), nodes(node) AS (SELECT source FROM edges UNION SELECT target FROM edges UNION SELECT s FROM first)
+    SELECT node, source, hops, hops + 1 AS n FROM nodes LEFT JOIN near USING (node)""")
+def path_index(spark, sf_dir):
+    """The index of shortest paths from the sources and regions, written by bucket and read back."""
+    e, folder = edges(spark, sf_dir), shared.folder(spark, "paths")
+    answers.write_index(e, seeds(e, "^(src|r[0-9])").select(F.col("seed").alias("source")), folder)
+    return answers.read_index(spark, folder).select("node", "source", "hops", F.when(F.col("source").isNotNull(), F.size("path")).alias("n"))
