@@ -27,7 +27,7 @@ SINKS = [
     ("FreeMarker Template.process", "freemarker", "xss", [r"\.process\s*\(", r"getTemplate\s*\("], [], [], False),
     ("VelocityEngine.evaluate/mergeTemplate", "velocity", "xss", [r"Velocity\.evaluate\s*\(", r"mergeTemplate\s*\(", r"velocityEngine\.evaluate\s*\("], [r"#escape\b", r"EscapeTool"], [], False),
 ]
-# Sanitizers: name, patterns (case ignored), keywords (case kept), effectiveness.
+# Fixed values. Sanitizers: name, patterns (case ignored), keywords (case kept), effectiveness.
 SANITIZERS = [
     ("HTML Entity Escaping", [r"stringescapeutils\.escapehtml4\s*\(", r"stringescapeutils\.escapehtml5\s*\(", r"htmlutils\.htmlescape\s*\(", r"encode\.forhtml\s*\(", r"encode\.forhtmlattribute\s*\(", r"esapi\.encoder\(\)\.encodeforhtml"], ["escapeHtml4", "escapeHtml5", "htmlEscape", "Encode.forHtml", "Encode.forHtmlAttribute"], 0.92),
     ("HTML Sanitization (Allowlist)", [r"jsoup\.clean\s*\(", r"policyfactory\.sanitize\s*\("], ["Jsoup.clean", "PolicyFactory.sanitize"], 0.94),
@@ -39,13 +39,16 @@ SANITIZERS = [
     ("Command Argument List", [r"new\s+processbuilder\s*\(", r"\.command\s*\(", r"list\.of\s*\(", r"arrays\.aslist\s*\("], ["ProcessBuilder", ".command(", "List.of", "Arrays.asList"], 0.82),
     ("Input Validation", [r"\.matches\s*\(", r"\.startswith\s*\(", r"\.endswith\s*\(", r"\.contains\s*\("], ["matches(", "startsWith", "endsWith", "contains("], 0.70),
 ]
+# What marks a line with a sink, in lower case.
 SINK_MARKERS = ("executequery", "executeupdate", "println", "sendredirect", "getruntime().exec", "lookup(", "search(")
+# Types whose variables are tainted, and names that tell a parameter from outside; taint reads them too.
 FRAMEWORK_TYPES = ("HttpServletRequest", "ServletRequest", "HttpSession", "HttpServletResponse", "ObjectInputStream", "BufferedReader", "Scanner", "InputStream", "Reader", "MultipartFile", "Cookie", "Principal", "Authentication", "WebRequest")
 PARAMETER_NAMES = (
     "username", "password", "userInput", "input", "data", "action", "cmd", "command", "query", "search", "id", "userId", "user", "email", "name", "path", "file", "filename", "url", "uri",
     "request", "response", "param", "parameter", "value", "val", "content", "message", "text", "error", "exception", "className", "class", "method", "methodName", "field", "fieldName", "key",
     "token", "session", "cookie", "redirect", "forward", "include", "xpath", "sql", "ldap", "serialized", "object", "bean", "entity",
 )
+# How severe each kind of finding is.
 SEVERITY = {
     "null_pointer_dereference": 100, "buffer_overflow": 95, "integer_overflow": 92, "sql_injection": 90, "command_injection": 90, "deserialization": 85, "xxe": 85, "ssrf": 84, "el_injection": 83,
     "http_response_splitting": 82, "reflection_injection": 80, "session_fixation": 78, "resource_leak": 76, "ldap_injection": 75, "xpath_injection": 74, "race_condition": 72, "xss": 70,

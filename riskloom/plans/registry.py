@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from riskloom.plans import calibration, classes, code, detection, findings, graphs, learning, linewise, records, reports, scan, scanners, scores, scoring, taint, trees, vectors  # noqa: F401
+    from riskloom.plans import calibration, classes, code, detection, findings, graphs, learning, linewise, records, reports, rules, scan, scanners, scores, scoring, taint, trees, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
