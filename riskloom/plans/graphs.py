@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.rules import quoted
-from riskloom.operators import answers
+from riskloom.operators import answers, counterfactual
 from riskloom.operators import graph as G
 from riskloom.plans.registry import register
 from riskloom.sources import shared
@@ -165,3 +165,14 @@ def path_index(spark, sf_dir):
     e, folder = edges(spark, sf_dir), shared.folder(spark, "paths")
     answers.write_index(e, seeds(e, "^(src|r[0-9])").select(F.col("seed").alias("source")), folder)
     return answers.read_index(spark, folder).select("node", "source", "hops", F.when(F.col("source").isNotNull(), F.size("path")).alias("n"))
+
+
+@register("x07_counterfactuals", """WITH o AS (SELECT o_custkey AS graph, o_totalprice AS w, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders),
+    c AS (SELECT *, sum(w) OVER (PARTITION BY graph ORDER BY k) AS gone FROM o) SELECT graph, min(k)::INT AS removed FROM c WHERE (total - gone) / total < 0.7 GROUP BY graph HAVING min(k) <= 3""")
+def counterfactuals(spark, sf_dir):
+    """Of each customer's orders the fewest without which less than 0.7 of their value is left, three at most; the dearest first is exact here, so a beam of one is."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    total = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"))
+    rows = o.join(total, "o_custkey").select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("edge"), (F.col("o_totalprice") / F.col("total")).alias("share"))
+    found = counterfactual.smallest_flips(rows, lambda left: left.groupBy("graph", "candidate").agg(F.sum("share").alias("score")), 0.7, 3, beam=1)
+    return found.select("graph", F.size("removed").alias("removed"))
