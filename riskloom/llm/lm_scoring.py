@@ -36,7 +36,7 @@ from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, dropped,
 
 ORDER, ALPHA, CUTOFF = 3, 0.4, 1
 #: Bytes of text in a slice, about, and ranges of the hash.
-SLICE, RANGES = 6 << 20, 3
+SLICE, RANGES = 6 << 20, 4
 
 
 def words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
