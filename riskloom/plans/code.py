@@ -67,7 +67,7 @@ CODE = [
         do { n--; } while (n > 0);
     }
 }"""),
-    ("c3", """package com.example.foo;
+    ("c3", """package shop.alias;
 public class Alias {
     static class Foo { int x; Foo next; }
     public void m(HttpServletRequest request, String name) {

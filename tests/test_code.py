@@ -154,8 +154,8 @@ def test_points_to(spark):
 
 def test_alias_metrics(spark):
     """Imports and packages are no field accesses; fields that are read or written are."""
-    none = "package com.example.foo;\nimport javax.servlet.http.HttpServletRequest;\npublic class T {\n  public void m(HttpServletRequest request) {\n    String x = request.getParameter(\"q\");\n  }\n}"
-    some = "package com.example;\npublic class T {\n  static class Foo { int x; }\n  public void m() {\n    Foo f = new Foo();\n    f.x = 1;\n    int y = f.x;\n  }\n}"
+    none = "package shop.till.one;\nimport shop.stock.Shelf;\nimport shop.stock.Price;\nclass Till {\n  String read(Shelf shelf) {\n    return shelf.label(\"a.b\"); // shelf.size\n  }\n}"
+    some = "package shop.till;\nclass Till {\n  void fill() {\n    Box f = new Box();\n    f.x = 2;\n    int y = f.x + 1;\n  }\n}"
     found = alias.facts(spark.createDataFrame([("none", none), ("some", some)], "file_id string, code string"))
     assert [tuple(r) for r in alias.fields(found).collect()] == [("some", "f.x", "f", "x")]
     told = alias.answers(found, spark.createDataFrame([("some", "f.x", "f"), ("some", "y", "y"), ("some", "y", "f")], "file_id string, a string, b string"))
