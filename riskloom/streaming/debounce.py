@@ -1,14 +1,14 @@
 """Change events that settle, and named analyzers side by side.
 
 `settled` lets an event of a path through once no later event of the path follows within the buffer time: of a burst only the last
-stays.  Events of a path are held as state until the watermark has passed their time and the buffer; then it is certain
-what follows, whatever the order in which events came, and a timer decides.  State is bounded by a path's events within the
-buffer and the watermark's delay.
+stays.  A burst is a session whose gap is the buffer time, and of each open session the last event is held as state until the
+watermark, which is in whole milliseconds, has passed its buffer time; then it is certain what follows, whatever the order in
+which events came.  State is a row for each burst that isn't over, however many events it has.
 
 `analyzers` runs one streaming query for each name, each with a checkpoint and a table of its own, so that one that fails or is
 stopped leaves the others alone, and one that starts again goes on where it was.
 
-The state store must keep several states and timers; `store` sets the provider that does, and restores what was set.
+The state of many paths belongs on disk; `store` sets the provider that keeps it there, and restores what was set.
 """
 
 from __future__ import annotations
@@ -16,14 +16,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENT = "event_id long, change_type string, hash string, at long"
-OUT = f"path string, {EVENT}"
 
 
 @contextmanager
@@ -37,53 +33,18 @@ def store(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-class Settling(StatefulProcessor):
-    """Holds a path's events until their buffer time is over."""
-
-    def __init__(self, buffer: int):
-        self.buffer = buffer  # microseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", EVENT)
-
-    def _due(self, at: int) -> int:
-        """When an event's buffer time is over, in milliseconds."""
-        return -(-(at + self.buffer) // 1000)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for part in rows:
-            for event in part[["event_id", "change_type", "hash", "at"]].itertuples(index=False):
-                self.held.appendValue((int(event.event_id), event.change_type, event.hash, int(event.at)))
-                self.handle.registerTimer(self._due(int(event.at)))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        events = sorted((tuple(e) for e in self.held.get()), key=lambda e: (e[3], e[0]))
-        out, left = [], []
-        for i, e in enumerate(events):
-            if self._due(e[3]) > now:
-                left.append(e)
-            elif i + 1 == len(events) or events[i + 1][3] > e[3] + self.buffer:
-                out.append((key[0], *e))
-        if left:
-            self.held.put(left)
-        else:
-            self.held.clear()
-        yield pd.DataFrame(out, columns=["path", "event_id", "change_type", "hash", "at"]) if out else pd.DataFrame()
-
-    def close(self) -> None:
-        pass
-
-
 def settled(events: DataFrame, buffer: float, delay: str = "0 seconds") -> DataFrame:
     """(path, event_id, change_type, hash, at) of a stream of events(event_id, path, change_type, ts, hash): at is ts in microseconds.
 
     buffer: seconds.  delay: how late events may come.  Events whose buffer time isn't over yet stay held.
     """
-    rows = events.select("event_id", "path", "change_type", "hash", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return rows.groupBy("path").transformWithStateInPandas(Settling(round(buffer * 1_000_000)), OUT, "append", "EventTime")
+    ts = F.col("ts").cast("timestamp")
+    rows = events.select("event_id", "path", "change_type", "hash", F.unix_micros(ts).alias("at"), ts.alias("ts")).withWatermark("ts", delay)
+    wait = round(buffer * 1_000_000)
+    # A session takes in what starts at its very end too; without a buffer a burst is the events of one time.
+    burst = F.session_window("ts", f"{wait} microseconds") if wait else F.col("ts")
+    last = F.max_by(F.struct("event_id", "change_type", "hash", "at"), F.struct("at", "event_id")).alias("last")
+    return rows.groupBy("path", burst).agg(last).select("path", "last.*")
 
 
 def settled_batch(events: DataFrame, buffer: float) -> DataFrame:

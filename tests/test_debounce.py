@@ -74,3 +74,23 @@ def test_one_that_fails_leaves_the_others(spark, tmp_path):
     assert again.count() == 10
     told = {(r.analyzer, r.files, r.found) for r in debounce.overall({"good": again}, lambda d: d.where("event_id < 3")).collect()}
     assert told == {("good", 10, 3), ("all", 10, 3)}
+
+
+@pytest.mark.parametrize("buffer", [0.0, 0.005])
+def test_events_at_the_end_of_the_buffer(spark, tmp_path, buffer):
+    """Times a buffer apart to the microsecond, and as late as the watermark: what follows at the very end still follows."""
+    r = random.Random(5)
+    events = [(i, f"p{r.randrange(40)}", "modified", START + timedelta(microseconds=1000 * r.randrange(200) + r.randrange(2)), "x") for i in range(1500)]
+    events += [(2000, "q", "created", START + timedelta(milliseconds=295), "x"), (2001, "q", "created", START + timedelta(milliseconds=300), "x")]
+    write(spark, events, f"{tmp_path}/in")
+    with debounce.store(spark):
+        stream = debounce.settled(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), buffer)
+        got = [(r.path, r.event_id) for r in debounce.analyzers({"a": stream}, f"{tmp_path}/out")["a"].collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(events, buffer)
+
+
+def test_no_python_runs_for_each_path(spark, tmp_path):
+    """Settling stays with Spark's own operators: a Python call for each path and each of its events did not end on large tables."""
+    write(spark, rows(6, 10, 1000), f"{tmp_path}/in")
+    plan = debounce.settled(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), 0.5)._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
