@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,15 @@ def changed_batch(events: DataFrame) -> DataFrame:
 
 def _differs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Of a path's new events those that tell something new; only the last hash is kept as state."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    last = rows["hash"].shift(1)
-    if state.exists:
-        last.iloc[0] = state.get[0]
-    state.update((rows["hash"].iloc[-1],))
-    yield rows[(rows["change_type"] == "created") | last.isna() | (rows["hash"] != last)]
+    parts = list(batches)
+    rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+    # There are many paths with few events each, so the events are judged as plain arrays.
+    order = np.lexsort((rows["event_id"].to_numpy(), rows["ts"].to_numpy()))
+    own = rows["hash"].to_numpy()[order]
+    last = np.concatenate(([state.get[0] if state.exists else None], own[:-1]))
+    state.update((own[-1],))
+    new = (rows["change_type"].to_numpy()[order] == "created") | pd.isna(last) | (~pd.isna(own) & (own != last))
+    yield rows.take(order[new])
 
 
 def changed_stream(events: DataFrame) -> DataFrame:

@@ -94,3 +94,16 @@ def test_no_python_runs_for_each_path(spark, tmp_path):
     write(spark, rows(6, 10, 1000), f"{tmp_path}/in")
     plan = debounce.settled(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), 0.5)._jdf.queryExecution().analyzed().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_changed_events_of_many_paths(spark, tmp_path):
+    """The stream tells what the batch rule tells, null hashes included."""
+    from riskloom.streaming import changes
+
+    r = random.Random(7)
+    events = [(i, f"p{r.randrange(60)}", r.choice(["created", "modified", None]), START + timedelta(seconds=r.randrange(40)), r.choice(["a", "b", None])) for i in range(600)]
+    r.shuffle(events)
+    write(spark, events, f"{tmp_path}/in")
+    stream = changes.changed_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"))
+    got = sorted(x.event_id for x in changes.run_once(stream, f"{tmp_path}/out").collect())
+    assert got == sorted(x.event_id for x in changes.changed_batch(spark.createDataFrame(events, SCHEMA)).collect())
