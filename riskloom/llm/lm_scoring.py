@@ -5,18 +5,15 @@ and within the document, if that n-gram occurs at least `cutoff` times in the co
 score by the context without its first word; without context it is count(word) / words.  The score of a
 document is the sum of the natural logarithms.
 
-All of it is relational, over rows of n-grams by their 64-bit hash:
-
-1. `exploded`: (gram, slice, place, times), the n-grams of all orders of the documents, summed within a slice of
-   about SLICE bytes of text before any shuffle.  A hot n-gram has one row for each slice that holds it.
-2. `counted`: (key, total, shared), the count table, which is the sum of those rows by gram; it is partitioned by
-   the hash, and stands in the same partitions as the exploded rows (one exchange serves both).
-3. The join of both tells each slice the totals of its n-grams, by their places among the slice's own in order.
-   If the corpus is the documents themselves, an n-gram that no other slice holds needs no answer: its total is
-   what the slice counts itself.
+1. Texts are dealt into slices of about SLICE bytes and stay there: all passes read one checkpoint that is dealt and sorted by slice.
+2. Each slice counts the n-grams of all orders by their 64-bit hash, and sends them in order, a row for each bucket of the hash, as the
+   steps from one to the next and their counts.  A hot n-gram comes once from each slice that holds it.
+3. A bucket of the count table sums the counts of its n-grams over all slices, and answers each slice with the totals
+   by their places among the slice's own in order.  If the corpus is the documents themselves, an n-gram that no other slice holds needs
+   no answer: its total is what the slice counts itself.
 4. The answers go to their slices, where words are scored and summed by document.
 
-Steps 1 to 3 are done for one range of the hash after the other, and written to the shared folder, so that no more
+Steps 2 and 3 are done for one range of buckets after the other, and written to the shared folder, so that no more
 than a range of the n-grams is on disk at a time; Spark drops the shuffle files of a range once it is written.
 Slices come from a hash of the row, so a task that is run again makes the same rows.
 
@@ -32,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, dropped, joined, mix, new_folder, saved, shuffles_dropped, table, word_spans
+from riskloom.llm.common import LOWER, Spans, bounded_batches, chunks, dropped, joined, mix, new_folder, saved, setting, shuffles_dropped, table, word_spans
 
 ORDER, ALPHA, CUTOFF = 3, 0.4, 1
-#: Bytes of text in a slice, about, and ranges of the hash.
-SLICE, RANGES = 6 << 20, 4
+#: Bytes of text in a slice, and n-grams of slices in a bucket, about; ranges of the buckets.
+SLICE, BUCKET, RANGES = 6 << 20, 1 << 19, 4
+SENT = "bucket int not null, slice long not null, grams binary not null, times binary not null"
+TOLD = "slice long not null, bucket int not null, totals binary not null"
 
 
 def words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,34 +65,94 @@ def grams(word: np.ndarray, text: np.ndarray, order: int) -> list[tuple[np.ndarr
     return out
 
 
-def _range_of(gram: np.ndarray) -> np.ndarray:
-    return (gram >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def exploded(texts: DataFrame, order: int, range_: int) -> DataFrame:
-    """(gram, slice, place, times) of texts(slice, text): the n-grams of a range of the hash."""
+def _least(bucket: int, buckets: int) -> np.uint64:
+    """The least hash of a bucket."""
+    return np.uint64(-(-(bucket << 32) // buckets) << 32)
+
+
+def packed(value: np.ndarray) -> bytes:
+    """Unsigned integers in as few bytes as the largest needs: all lowest bytes, then all second ones, and so on."""
+    width = max(1, -(-int(value.max()).bit_length() // 8))
+    return value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def exploded(texts: DataFrame, order: int, buckets: int, range_: int, counts: bool = True, asks: bool = True) -> DataFrame:
+    """SENT of texts(slice, text): the n-grams of a range of the buckets, those of a bucket of a slice in a row.
+
+    counts: whether they count in the corpus.  A slice that asks no totals is sent as -1 - slice.
+    """
+    first, end = (np.searchsorted(np.arange(buckets) * RANGES // buckets, r) for r in (range_, range_ + 1))
 
     def count(rows: pa.Table) -> pa.Table:
-        found = np.concatenate([value[_range_of(value) == range_] for _, value in grams(*words(rows.column("text")), order)])
-        gram, times = np.unique(found, return_counts=True)
-        own = np.full(len(gram), rows.column("slice")[0].as_py(), np.int64)
-        return pa.table({"gram": gram.view(np.int64), "slice": own, "place": np.arange(len(gram), dtype=np.int32), "times": times.astype(np.int64)})
+        least, found = _least(int(first), buckets), []
+        for _, value in grams(*words(rows.column("text")), order):
+            mine = value >= least
+            if end < buckets:
+                mine &= value < _least(int(end), buckets)
+            found.append(value[mine])
+        gram, times = np.unique(np.concatenate(found), return_counts=True)
+        times = times.astype(np.uint64) if counts else np.zeros(len(gram), np.uint64)
+        slice_ = rows.column("slice")[0].as_py()
+        bucket = _bucket(gram, buckets)
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(gram)), bool), bucket[1:] != bucket[:-1])))
+        cuts = list(zip(bucket[begin].tolist(), begin.tolist(), np.append(begin, len(gram))[1:].tolist(), strict=True))
+        return pa.table({
+            "bucket": pa.array([b for b, _, _ in cuts], pa.int32()), "slice": np.full(len(cuts), slice_ if asks else -1 - slice_, np.int64),
+            "grams": pa.array([n.to_bytes(4, "little") + packed(np.diff(gram[s:e], prepend=_least(b, buckets))) for b, s, e in cuts for n in (e - s,)], pa.binary()),
+            "times": pa.array([packed(times[s:e]) for _, s, e in cuts], pa.binary()),
+        })
 
-    return texts.groupBy("slice").applyInArrow(count, "gram long not null, slice long not null, place int not null, times long not null")
+    return texts.groupBy("slice").applyInArrow(count, SENT)
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """The count table (key, total, shared) of exploded rows: an n-gram, how often it occurs, and if in several slices."""
-    many = (F.min("slice") < F.max("slice")) | (F.min("place") < F.max("place"))
-    return rows.groupBy(F.col("gram").alias("key")).agg(F.sum("times").alias("total"), many.alias("shared"))
+def counted(sent: DataFrame, buckets: int, own: bool) -> DataFrame:
+    """TOLD of sent rows: how often each n-gram that a slice asks for occurs in the corpus.
 
+    own: an n-gram that no other slice holds is told as 0.
+    """
 
-def _sliced(docs: DataFrame, text: str, id_: str) -> DataFrame:
-    """(id, text, slice): rows with equal texts fall into different slices, if their ids differ."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    slices = max(docs.sparkSession.sparkContext.defaultParallelism, int(size // SLICE) + 1)
+    def count(rows: pa.Table) -> pa.Table:
+        least = _least(rows.column("bucket")[0].as_py(), buckets)
+        slices, blobs = rows.column("slice").to_pylist(), rows.column("grams").to_pylist()
+        size = [int.from_bytes(g[:4], "little") for g in blobs]
+        gram = np.concatenate([np.cumsum(unpacked(g[4:], n), dtype=np.uint64) + least for g, n in zip(blobs, size, strict=True)])
+        times = np.concatenate([unpacked(t, n) for t, n in zip(rows.column("times").to_pylist(), size, strict=True)])
+        by = np.argsort(gram, kind="stable")
+        gram = gram[by]
+        begin = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        total = np.empty(len(gram), np.uint64)
+        total[by] = np.repeat(np.add.reduceat(times[by], begin), np.diff(np.append(begin, len(gram))))
+        if own:
+            total[total == times] = 0
+        parts = zip(slices, np.split(total, np.cumsum(size)[:-1]), strict=True)
+        told = [(s, packed(t)) for s, t in parts if s >= 0 and t.any()]
+        return pa.table({"slice": pa.array([s for s, _ in told], pa.int64()), "bucket": pa.array([rows.column("bucket")[0].as_py()] * len(told), pa.int32()), "totals": pa.array([t for _, t in told], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(count, TOLD)
+
+
+def _sliced(docs: DataFrame, text: str, id_: str) -> tuple[DataFrame, int]:
+    """(id, text, slice), dealt and sorted by slice, and bytes of text: rows with equal texts fall into different slices, if their ids differ."""
+    spark = docs.sparkSession
+    size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    slices = max(spark.sparkContext.defaultParallelism, size // SLICE + 1)
     rows = docs.select(F.col(id_).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slices // 16)
+    # A plan that doesn't adapt tells how its checkpoint is dealt and sorted, so that later groupings by slice don't move it.
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):
+        return saved(rows.repartition(parts, "slice").sortWithinPartitions("slice")), size
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA, cutoff: int = CUTOFF, order: int = ORDER, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -104,17 +163,21 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts, own = _sliced(docs, text, id_), corpus is None
-    counted_in = texts if own else _sliced(corpus, text, id_)
+    own = corpus is None
     folder = new_folder(spark, "ngrams")
 
     def scored(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(rows):
+            return pa.table({"id": pa.nulls(0, rows.schema.field("id").type), "n_words": np.zeros(0, np.int64), "value": np.zeros(0), "bare": np.zeros(0, np.int64)})
         word, place = words(rows.column("text"))
         ends, values = zip(*grams(word, place, order), strict=True)
         gram, which, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
         n = times.astype(np.int64) if own else np.zeros(len(gram), np.int64)
-        first = np.searchsorted(_range_of(gram), np.arange(RANGES))
-        n[first[np.asarray(answers.column("range"))] + np.asarray(answers.column("place"))] = np.asarray(answers.column("total"))
+        bounds = np.searchsorted(_bucket(gram, buckets), np.arange(buckets + 1))
+        for bucket, totals in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
+            first, end = bounds[bucket : bucket + 2]
+            told = unpacked(totals, end - first).astype(np.int64)
+            n[first:end] = np.where(told > 0, told, n[first:end])
         total, at = [], 0  # of each order: counts of the n-grams that end at the words, 0 where there is none
         for end in ends:
             full = np.zeros(len(word), np.int64)
@@ -136,14 +199,16 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, alpha: float = ALPHA
         })
 
     with shuffles_dropped(spark):
+        texts, size = _sliced(docs, text, id_)
+        counted_in, more = (None, 0) if own else _sliced(corpus, text, id_)
+        # A slice has about an n-gram for four bytes of text, of all orders up to three.
+        buckets = RANGES * max(spark.sparkContext.defaultParallelism, (size + more) * order // 12 // BUCKET // RANGES + 1)
         for r in range(RANGES):
-            # Dealt by gram once, for the sums and for the join: both read all columns, so Spark sees one exchange.
-            # Of the counts only n-grams of several slices are hashed in a task; the asking rows stream past them.
-            asked = exploded(texts, order, r).repartition("gram")
-            table_ = counted(asked).where("shared") if own else counted(exploded(counted_in, order, r))
-            told = asked.join(table_.hint("shuffle_hash"), (F.col("gram") == F.col("key")) & (F.col("total") >= F.col("times") if own else F.lit(True)))
-            told.select(F.col("slice").cast("int").alias("slice"), F.lit(r).alias("range"), "place", "total").write.mode("append").parquet(folder)
-        both = texts.groupBy("slice").cogroup(spark.read.parquet(folder).groupBy(F.col("slice").cast("long")))
+            sent = exploded(texts, order, buckets, r, counts=own)
+            if not own:
+                sent = sent.unionByName(exploded(counted_in, order, buckets, r, asks=False))
+            counted(sent, buckets, own).write.option("compression", "zstd").mode("append").parquet(folder)
+        both = texts.groupBy("slice").cogroup(spark.read.schema(TOLD).parquet(folder).groupBy("slice"))
         kind = docs.schema[id_].dataType.simpleString()
         sums = saved(both.applyInArrow(scored, f"id {kind}, n_words long, value double, bare long"))
     dropped(spark, folder)

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -461,3 +462,18 @@ def test_pipeline(spark, odd, empty, sf_dir):
     same = corpus_pipeline.STAGES[1][1](spark, odd, sf_dir).collect()
     assert len({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in same}) == len(same)
     assert duckdb.__version__ and corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_lm_scoring_sends_n_grams_packed(spark, sf_dir, monkeypatch):
+    """A slice's n-grams of a bucket are one row, all 64 bits of each are kept, and texts stay where they are dealt."""
+    monkeypatch.setattr(lm_scoring, "SLICE", 100_000)
+    values = np.sort(np.array([0, 1, 255, 256, 2**40, 2**63 + 5, 2**64 - 1], np.uint64))
+    assert (lm_scoring.unpacked(lm_scoring.packed(values), len(values)) == values).all()
+    texts_, _ = lm_scoring._sliced(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "doc_id")
+    sent = [lm_scoring.exploded(texts_, 3, 20, r) for r in range(lm_scoring.RANGES)]
+    assert "Exchange" not in sent[0]._jdf.queryExecution().executedPlan().toString()
+    rows = [r for s in sent for r in s.collect()]
+    assert len(rows) == len({(r.bucket, r.slice) for r in rows}) and {r.bucket for r in rows} == set(range(20))
+    got = {(r.slice, int(g)) for r in rows for g in np.cumsum(lm_scoring.unpacked(r.grams[4:], int.from_bytes(r.grams[:4], "little")), dtype=np.uint64) + lm_scoring._least(r.bucket, 20)}
+    want = {(r.slice, int(g)) for r in texts_.collect() for _, v in lm_scoring.grams(*lm_scoring.words(pa.chunked_array([[r.text]])), 3) for g in v}
+    assert got == want
