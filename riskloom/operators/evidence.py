@@ -31,10 +31,22 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def _nine(x: Column) -> Column:
+    """x to nine places: a half of the last place is judged after scaling."""
+    return F.round(x * 1e9) / 1e9
+
+
 def gate_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GATES, "sink string, direct_at double, indirect_at double, required array<string>, least int, fp_penalty double")
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of x, the same in any order of the rows: exact to 15 places, where no value is out of that form's range."""
+    fits = F.abs(x) < 1e12  # not so for NaN, which counts as greatest
+    whole = F.sum(F.when(fits, F.when(fits, x).cast("decimal(28,15)")))
+    return F.when(F.bool_and(F.coalesce(fits, F.lit(True))), whole.cast("double")).otherwise(F.sum(x))
+
+
 def gated(evidence: DataFrame, *by: str) -> DataFrame:
     """evidence(*by, sink, direct, evidence_type, confidence) -> one row for each *by, sink, direct:
     n, weighted, confidence and passed.  An unknown sink has confidence 0.5 and doesn't pass; too little
@@ -42,7 +54,7 @@ def gated(evidence: DataFrame, *by: str) -> DataFrame:
     spark = evidence.sparkSession
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), F.col("evidence_type"))
     e = evidence.withColumn("w", weight)
-    out = e.groupBy(*by, "sink", "direct").agg(F.count("*").alias("n"), (F.sum(F.col("w") * F.col("confidence")) / F.sum("w")).alias("raw"), F.collect_set("evidence_type").alias("types"))
+    out = e.groupBy(*by, "sink", "direct").agg(F.count("*").alias("n"), (exact_sum(F.col("w") * F.col("confidence")) / exact_sum(F.col("w"))).alias("raw"), F.collect_set("evidence_type").alias("types"))
     out = out.join(F.broadcast(gate_table(spark)), "sink", "left")  # one row for each sink
     met = (F.col("n") >= F.col("least")) & (F.size(F.array_except("required", "types")) == 0)
     flow = clamp(F.col("raw") * F.when(F.col("direct"), DIRECT).otherwise(INDIRECT))
@@ -51,7 +63,7 @@ def gated(evidence: DataFrame, *by: str) -> DataFrame:
     adjusted = clamp(F.when(weak, adjusted * WEAK - F.col("fp_penalty")).otherwise(adjusted))
     confidence = F.when(F.col("required").isNull(), 0.5).when(~met, 0.0).otherwise(adjusted)
     passed = F.col("required").isNotNull() & met & (confidence >= F.when(F.col("direct"), F.col("direct_at")).otherwise(F.col("indirect_at")))
-    return out.select(*by, "sink", "direct", "n", F.round("raw", 9).alias("weighted"), F.round(confidence, 9).alias("confidence"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    return out.select(*by, "sink", "direct", "n", _nine(F.col("raw")).alias("weighted"), _nine(confidence).alias("confidence"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def finite(x: Column) -> Column:
