@@ -138,6 +138,17 @@ def test_substring_dedup(spark, odd, empty):
         spread.__defaults__ = old
 
 
+def test_substring_dedup_documents(spark, sf_dir):
+    """Brute force over the given documents; a passage of over 50 words is removed by its bytes, not by its words."""
+    keep = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    assert counted(QUERIES["op3_substring_dedup"](spark, sf_dir).select(keep).collect()) == repeats(texts(docs), 400)
+    passage = " ".join(f"word{i}" for i in range(60))  # 60 words
+    rows = [(1, f"<{passage[:399]}>"), (2, f"({passage[:399]})"), (3, "é" + passage[:400].upper() + "é"), (4, "[" + passage[:400].upper() + "]")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(passage[:399].split()) > 50 and got == {1: 0, 2: 0, 3: 400, 4: 400}
+
+
 def test_mixing_overlapping_sources(spark):
     """Documents of several sources: each counts for all of its sources, none is used more than three times, and the corpus is the sum."""
     rows = [(i, "w " * (1 + i % 7), ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["c", "b", "c"]) for i in range(300)] + [(1000, None, ["a"]), (1001, "w w", [])]
